@@ -23,6 +23,9 @@ STOP_WORDS = tuple(
     "por con del al lo su no para si".split()
 )
 
+#: As they stand in running text.
+STOP_FORMS = tuple(w + end for w in STOP_WORDS for end in ("", ",", "."))
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -39,7 +42,6 @@ RULES = (
     Rule("mean_word_chars", low=2.0, high=14.0, min_words=50),
     Rule("symbols_per_word", high=0.1),
     Rule("bangs_per_word", high=0.5, min_words=50),
-    Rule("upper_ratio", high=0.5, min_words=50),
     Rule("stop_ratio", low=0.04, min_words=100),
     Rule("dup_line_ratio", high=0.35, min_words=50),
 )
@@ -48,26 +50,22 @@ RULES = (
 def _base(text: Column) -> Column:
     """struct(n_words, word_chars, n_symbols, n_stop, n_lines, n_distinct_lines, n_repeat_words, ...) of one text."""
 
-    def windows(w: Column) -> Column:
-        """Positions (sorted) where a 3-word window starts that the text holds at least twice."""
-        made = F.transform(
-            F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))),
-            lambda x, i: F.struct(
-                F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)).alias("w"), i.cast("int").alias("i")
-            ),
-        )
-        return let(
-            F.array_sort(made),
-            lambda s: F.array_sort(
+    def windows(h: Column) -> Column:
+        """Positions (sorted) of the 3-word windows that the text holds at least twice; ``h``: a hash of each window.
+
+        Most texts repeat none: a distinct count tells, and only the others are sorted.
+        """
+        placed = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("int").alias("i")))
+        twice = let(
+            F.sort_array(placed),
+            lambda s: F.sort_array(
                 F.transform(
-                    F.filter(
-                        s,
-                        lambda x, k: F.get(s, k + 1)["w"].eqNullSafe(x["w"]) | F.get(s, k - 1)["w"].eqNullSafe(x["w"]),
-                    ),
+                    F.filter(s, lambda x, k: F.get(s, k + 1)["h"].eqNullSafe(x["h"]) | F.get(s, k - 1)["h"].eqNullSafe(x["h"])),
                     lambda x: x["i"],
                 )
             ),
         )
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.array().cast("array<int>")).otherwise(twice)
 
     def covered(starts: Column) -> Column:
         """Words under windows that start at ``starts``: each adds at most 3, less where the next one begins sooner."""
@@ -81,23 +79,21 @@ def _base(text: Column) -> Column:
         kept = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
         return let(kept, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
 
-    bare = F.translate(text, " \t\n\x0b\f\r", "")
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda x: x != "")
+    # x, i run over words 3, 4, ...: the window is words i, i + 1 and x (a 64-bit hash stands for the three words)
+    hashed = lambda w: F.transform(F.slice(w, 3, F.size(w)), lambda x, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), x))
     ln = lines(text)
     return let(
         words,
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.length(bare).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
             ln["n"].cast("long").alias("n_lines"),
             (ln["n"] - ln["d"]).cast("long").alias("n_dup_lines"),
-            let(windows(w), covered).alias("n_repeat_words"),
-            F.size(F.filter(w, lambda x: F.lower(F.translate(x, ".,;:!?\"'()" + SYMBOLS, "")).isin(*STOP_WORDS)))
-            .cast("long")
-            .alias("n_stop"),
-            (F.length(text) - F.length(F.translate(text, "!", ""))).cast("long").alias("n_bangs"),
-            F.length(F.regexp_replace(text, r"\P{Lu}+", "")).cast("long").alias("n_upper"),
+            let(let(hashed(w), windows), covered).alias("n_repeat_words"),
+            F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_FORMS))).cast("long").alias("n_stop"),
+            F.regexp_count(text, F.lit("!")).cast("long").alias("n_bangs"),
         ),
     )
 
@@ -110,7 +106,6 @@ def metrics(q: Column) -> dict[str, Column]:
         "mean_word_chars": q["word_chars"] / words,
         "symbols_per_word": q["n_symbols"] / words,
         "bangs_per_word": q["n_bangs"] / words,
-        "upper_ratio": q["n_upper"] / F.greatest(q["word_chars"], F.lit(1)),
         "stop_ratio": q["n_stop"] / words,
         "dup_line_ratio": q["n_dup_lines"] / F.greatest(q["n_lines"], F.lit(1)),
         "repeat_ratio": q["n_repeat_words"] / words,

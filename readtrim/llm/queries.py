@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import isobmff, quality_rules, simhash, token_counts
+from . import isobmff, pii, quality_rules, simhash, token_counts
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op3_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = isobmff.feature(isobmff.media_columns(isobmff.encode(table(spark, sf_dir, "documents"))))
     return media.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -36,6 +40,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op8_media_columns, op9_simhash, op10_quality_rules)
+    f.__name__: f for f in (op2_token_counts, op3_pii_bootstrap, op8_media_columns, op9_simhash, op10_quality_rules)
 }
 SQL: dict[str, str] = {}

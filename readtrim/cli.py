@@ -183,7 +183,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         tables = spark.read.option("sep", "\t").option("header", True).option("inferSchema", True).csv(args.files)
         path = F.input_file_name()
-        tables = tables.withColumn("file", F.regexp_extract(path, "([^/]+)/[^/]*$", 1)).withColumn("adapter_length", F.regexp_extract(path, "adapter_length_([0-9]+)", 1).cast("int"))
+        tables = tables.withColumn("file", F.regexp_extract(path, "([^/]+)/[^/]*$", 1)).withColumn("adapter_length", F.regexp_extract(path, "adapter_length_([0-9]+)", 1).try_cast("int"))
         tables = materialize(tables, "plot")
         for name, df in {
             "rates": stats.plot_rates(tables), "error_rate": stats.plot_accuracy(tables), "adapter_length": stats.plot_accuracy(tables, "adapter_length"),

@@ -52,7 +52,7 @@ def trim_folder(
 
 def fastq_folder(spark: SparkSession, source: str, checkpoint: str, handle: Callable[[DataFrame, int], None], glob: str = "*"):
     """Call ``handle(files, batch)`` with the paths of FASTQ files (column ``path``) that are new in ``source``, and stop."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).load(source).select(F.col("path"))
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).load(source).select(F.col("path"))
     query = files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query

@@ -119,9 +119,10 @@ def plan(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: fl
 
 
 def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, extra: bool = False) -> DataFrame:
-    """The documents drawn, all columns as they came; ``extra``: with ``topic`` and ``p``."""
+    """The documents drawn, all columns as they came; ``extra``: with ``topic`` and ``p`` (instead of columns of that name)."""
     cells = plan(docs, targets, share).select(*[F.col(d).alias(f"__{d}") for d in DIMS], F.col("p").alias("__p"))
     drawn = labelled(docs).join(cells, [f"__{d}" for d in DIMS]).where(uniform(F.col("doc_id")) < F.col("__p"))
     if not extra:
         return drawn.select(*docs.columns)
-    return drawn.select(*docs.columns, F.col("__topic").alias("topic"), F.col("__p").alias("p"))
+    kept = [c for c in docs.columns if c.lower() not in ("topic", "p")]
+    return drawn.select(*kept, F.col("__topic").alias("topic"), F.col("__p").alias("p"))

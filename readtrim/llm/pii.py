@@ -65,6 +65,8 @@ def _valid(kind: str, found: Column) -> Column:
     return _luhn(found) if kind == "card" else F.lit(True)
 
 
+#: Columns of scanned and extracted rows; named so that no column of the input clashes with them.
+BASES, LOOSES, ADDED, KEY = "__base_spans", "__loose_spans", "__added_spans", "__text_key"
 _SPAN = "array<struct<start:bigint,end:bigint,kind:int,text:string,before:string,after:string>>"
 
 
@@ -106,7 +108,7 @@ def _placed(text: Column, kind: int, regex: str, test, context: bool) -> Column:
 
 
 def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``base`` and ``loose`` spans of each text, and ``text_key`` where it has loose ones."""
+    """``keep`` columns with the base and loose spans of each text (columns BASES, LOOSES), and KEY where it has loose ones."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     digits, none = text.rlike("[0-9]"), F.array().cast(_SPAN)
     parts = []
@@ -137,13 +139,13 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
                     ),
                 ).alias("loose"),
             ),
-        ).alias("found"),
+        ).alias("__found"),
     )
     return made.select(
         *keep,
-        F.col("found.base").alias("base"),
-        F.col("found.loose").alias("loose"),
-        F.when(F.size("found.loose") > 0, F.md5("__t")).alias("text_key"),
+        F.col("__found.base").alias(BASES),
+        F.col("__found.loose").alias(LOOSES),
+        F.when(F.size("__found.loose") > 0, F.md5("__t")).alias(KEY),
     )
 
 
@@ -166,7 +168,7 @@ def bootstrap(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT,
         F.col("m.text").alias("instance"), F.explode(_patterns(F.col("m"))).alias("pattern"), F.lit(seed).alias("seed")
     )
     edges = materialize(
-        mention("base", 1.0).union(mention("loose", 0.0)).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges"
+        mention(BASES, 1.0).union(mention(LOOSES, 0.0)).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges"
     )
     # A pattern below the support can never be confident: it has no say.
     able = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("seed").alias("s")).where((F.col("n") >= support) & (F.col("s") > 0))
@@ -182,15 +184,15 @@ def bootstrap(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT,
 
 
 def extract(scanned: DataFrame) -> DataFrame:
-    """``scanned`` with ``added``: loose spans with a confident pattern. A row's text decides, so copies agree."""
+    """``scanned`` with ADDED: loose spans with a confident pattern. A row's text decides, so copies agree."""
     trusted = bootstrap(scanned)
-    loose = scanned.where(F.size("loose") > 0).select("text_key", F.explode("loose").alias("m"))
+    loose = scanned.where(F.size(LOOSES) > 0).select(KEY, F.explode(LOOSES).alias("m"))
     added = materialize(
-        loose.select("text_key", "m", F.explode(_patterns(F.col("m"))).alias("pattern")).join(trusted, "pattern", "left_semi")
-        .groupBy("text_key").agg(F.sort_array(F.collect_set("m")).alias("added")),
+        loose.select(KEY, "m", F.explode(_patterns(F.col("m"))).alias("pattern")).join(trusted, "pattern", "left_semi")
+        .groupBy(KEY).agg(F.sort_array(F.collect_set("m")).alias(ADDED)),
         "added",
     )
-    return scanned.join(added, "text_key", "left").withColumn("added", F.coalesce("added", F.array().cast(_SPAN)))
+    return scanned.join(added, KEY, "left").withColumn(ADDED, F.coalesce(ADDED, F.array().cast(_SPAN)))
 
 
 def _joined(spans: Column) -> Column:
@@ -209,13 +211,13 @@ def _in_order(spans: Column) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, base counts by kind, base_sha256, all spans, n_added."""
     rows = extract(materialize(scan(docs), "scan"))
-    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    count = lambda k: F.size(F.filter(BASES, lambda x: x["kind"] == k)).cast("long")
     return rows.select(
         "doc_id",
         *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
-        F.sha2(_joined(_in_order(F.col("base"))), 256).alias("base_sha256"),
-        _joined(_in_order(F.concat("base", "added"))).alias("spans"),
-        F.size("added").cast("long").alias("n_added"),
+        F.sha2(_joined(_in_order(F.col(BASES))), 256).alias("base_sha256"),
+        _joined(_in_order(F.concat(BASES, ADDED))).alias("spans"),
+        F.size(ADDED).cast("long").alias("n_added"),
     )
 
 
@@ -227,7 +229,7 @@ def redact(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     keep = tuple(columns)
     rows = extract(materialize(scan(docs, keep), "scan"))
-    spans = _in_order(F.concat("base", "added"))
+    spans = _in_order(F.concat(BASES, ADDED))
 
     def replaced(s: Column) -> Column:
         # the end of all spans before each one; a span inside that is part of the one before
@@ -255,7 +257,7 @@ def redact(docs: DataFrame) -> DataFrame:
             ),
         )
 
-    new = F.when(F.size("base") + F.size("added") > 0, let(spans, replaced)).otherwise(F.col("text"))
+    new = F.when(F.size(BASES) + F.size(ADDED) > 0, let(spans, replaced)).otherwise(F.col("text"))
     out = rows.withColumn("text", new)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

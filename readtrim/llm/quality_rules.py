@@ -128,7 +128,7 @@ def compile_rules(q: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: the figures, ``base_failed``, ``failed_rules`` and ``kept``; ``keep``: further columns to carry."""
-    q = F.col("q")
+    q = F.col("__q")
     # One let around all: the struct is computed once per row although many columns read it.
     scored = docs.select(
         F.col(id_col),
@@ -136,7 +136,7 @@ def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
         let(
             _base(F.coalesce(F.col(text_col).cast("string"), F.lit(""))),
             lambda b: F.struct(b.alias("b"), compile_rules(b, rules).alias("failed")),
-        ).alias("q"),
+        ).alias("__q"),
     )
     b = q["b"]
     base_failed = (b["n_words"] < 50) | (100 * b["n_repeat_words"] > 50 * b["n_words"])

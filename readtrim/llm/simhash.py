@@ -288,16 +288,16 @@ def keep_first(docs: DataFrame) -> DataFrame:
     mark = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
     made = fingerprints(docs.select(F.struct(F.isnull("doc_id").alias("nul"), F.col("doc_id").alias("id"), mark.alias("mark")).alias("key"), "text"), "key")
     prints = materialize(made, "fp")
-    reps = materialize(_classes(prints, F.col("key")).select("least").distinct(), "kept")
+    reps = materialize(_classes(prints, F.col("key")).select(F.col("least").alias("__least")).distinct(), "kept")
     on = lambda a: F.struct(F.isnull("doc_id").alias("nul"), F.col("doc_id").alias("id"), mark.alias("mark")).eqNullSafe(a)
-    kept = docs.join(reps, on(F.col("least")), "left_semi")
+    kept = docs.join(reps, on(F.col("__least")), "left_semi")
     repeated = materialize(
-        prints.join(reps, F.col("key").eqNullSafe(F.col("least"))).groupBy("least").agg(F.count("*").alias("n")).where("n > 1"), "again"
+        prints.join(reps, F.col("key").eqNullSafe(F.col("__least"))).groupBy("__least").agg(F.count("*").alias("n")).where("n > 1"), "again"
     )
     if repeated.isEmpty():
         return kept
-    again = repeated.select("least")
-    rest = docs.join(reps.join(again, "least", "left_anti"), on(F.col("least")), "left_semi")
+    again = repeated.select("__least")
+    rest = docs.join(reps.join(again, "__least", "left_anti"), on(F.col("__least")), "left_semi")
     return rest.unionByName(
-        docs.join(again, on(F.col("least"))).dropDuplicates(["least"]).drop("least")
+        docs.join(again, on(F.col("__least"))).dropDuplicates(["__least"]).drop("__least")
     )

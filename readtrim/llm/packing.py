@@ -7,7 +7,8 @@ finds the configuration worth most at these prices. The averaged solution is rou
 one configuration at a time by a bounded subset-sum program (largest piece first, then the fullest fit), each used as
 often as the counts allow. The result is a table of (length, ranks, sequence numbers), as small as the histogram.
 
-Distributed: documents are tokenised map side and written once as pieces. A piece's rank among those of its length
+Distributed: documents are tokenised map side and written once as pieces. Where the tokenizer file allows it (checked on
+load) ids come from a leaner byte-pair encoder over the same merges; tests hold it against the library. A piece's rank among those of its length
 comes from its bucket (a hash), so neither a frequent length nor a hot group lies in one task: counts per bucket and
 length give each bucket's first rank, a window numbers the rows inside. The plan is then looked up map side.
 
@@ -17,6 +18,7 @@ own; longer documents are cut into whole CAPACITY pieces after a first, shorter
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -30,71 +32,64 @@ from .common import materialize
 
 CAPACITY, END, BUCKETS = 1024, 2, 256
 STEPS, RATE = 1200, 0.5
-CACHE, KEY = 400_000, 48
-#: White space after which a space may be part of a longer run: there the text isn't split.
-_SPACES = tuple(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_DOUBLE = tuple(c + " " for c in _SPACES)
-
-
-def chunks(text: str) -> list[str]:
-    """Pieces of a text at whose edges a byte-level BPE with the usual pattern can't merge.
-
-    A space after anything but white space always starts a pre-token, whatever follows.
-
-    >>> chunks("a b  c")
-    ['a', ' b ', ' c']
-    """
-    parts = text.split(" ")
-    if not any(x in text for x in _DOUBLE):
-        return [p for p in (parts[0], *(" " + p for p in parts[1:])) if p]
-    out = [parts[0]]
-    for p in parts[1:]:
-        last = out[-1]
-        if last and not last[-1].isspace():
-            out.append(" " + p)
-        else:
-            out[-1] = f"{last} {p}"
-    return [p for p in out if p]
+LONG = 1_000_000
+_WORKER: dict = {}
 
 
-_WORKER: dict = {}
+def _byte_of() -> dict[str, int]:
+    """Byte-level vocabularies write bytes as characters: printable ones as they are, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def _worker(path: str):
-    if path not in _WORKER:
-        from tokenizers import Tokenizer
+def fast_encoder(tokenizer):
+    """A byte-pair encoder of the same ids that skips all bookkeeping, or None where the file isn't of that kind.
 
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        _WORKER[path] = (t, {})
-    return _WORKER[path]
+    It needs a byte-level model without normalizer or prefix space whose ids are the ranks of its merges.
+    """
+    import tiktoken
+
+    spec = json.loads(tokenizer.to_str())
+    model, pre = spec["model"], spec["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not spec["normalizer"] and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    if not plain or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    byte, vocab = _byte_of(), model["vocab"]
+    special = {a["content"] for a in spec["added_tokens"]}
+    try:
+        ranks = {bytes(byte[c] for c in piece): i for piece, i in vocab.items() if piece not in special}
+    except KeyError:
+        return None
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if len(ranks) != 256 + len(merges) or any(vocab.get(x + y) != 256 + k for k, (x, y) in enumerate(merges)):
+        return None
+    import public_tokenizers
+
+    return tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
 
 class Ids:
-    """Token ids (little-endian uint32 bytes) of whole texts by a tokenizer file, with a worker cache of chunks."""
+    """Token ids (little-endian uint32 bytes) of whole texts by a tokenizer file."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.cache = _worker(path)
-        added = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = tuple(added)
-
-    def encode(self, keys: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)
-        return {k: np.array(e.ids, "<u4").tobytes() for k, e in zip(keys, found, strict=True)}
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        cache = self.cache
-        # a text with a special string isn't split: such strings are tokens of their own in it
-        keyed = [[t] if any(s in t for s in self.special) else chunks(t) for t in texts]
-        if len(cache) > CACHE:
-            cache.clear()
-        missing = list({k for ks in keyed for k in ks if k not in cache})
-        extra = self.encode(missing) if missing else {}
-        both = {k: v for k, v in extra.items() if len(k) > KEY}
-        cache.update((k, v) for k, v in extra.items() if len(k) <= KEY)
-        get = cache.get
-        return [b"".join([get(k) or both[k] for k in ks]) if ks else b"" for ks in keyed]
+        if path not in _WORKER:
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+            _WORKER[path] = (tokenizer, fast_encoder(tokenizer), tuple(a.content for a in tokenizer.get_added_tokens_decoder().values()))
+        self.tokenizer, self.fast, self.special = _WORKER[path]
+
+    def text(self, text: str) -> bytes:
+        # texts with a special string go to the library itself: such strings are tokens of their own;
+        # so do very long ones, whose runs of white space would overflow the fast one's pattern matcher
+        if self.fast is None or len(text) > LONG or any(s in text for s in self.special):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast(text)
+        return np.array(ids, "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,8 +104,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for k, raw in enumerate(coder.texts([t or "" for t in part.column(1).to_pylist()])):
-                    raw += tail
+                for k, text in enumerate(part.column(1).to_pylist()):
+                    raw = coder.text(text or "") + tail
                     n = len(raw) // 4
                     s, e, p = 0, (n - 1) % capacity + 1, 0
                     while s < n:

@@ -1,4 +1,4 @@
-"""Command line: ``python -m readtrim.cli trim|simulate|randtrim|readstat|plot ...``."""
+"""Command line: ``python -m readtrim.cli trim|simulate|randtrim|readstat|plot|truth|evaluate|times|replicates ...``."""
 
 from __future__ import annotations
 
@@ -63,6 +63,18 @@ def parser() -> argparse.ArgumentParser:
     plot = sub.add_parser("plot", help="plot tables of readstat summaries")
     plot.add_argument("files", nargs="+")
     plot.add_argument("-o", "--output-dir", default=".")
+    truth = sub.add_parser("truth", help="lengths of simulated reads from alignment files")
+    truth.add_argument("files", nargs="+")
+    truth.add_argument("-o", "--output", required=True)
+    ev = sub.add_parser("evaluate", help="confusion matrix of trimmed lengths against true ones")
+    ev.add_argument("truth", help="table of id and length, without header")
+    ev.add_argument("read1")
+    ev.add_argument("--full-length", type=int, default=100)
+    times = sub.add_parser("times", help="speed table of GNU time logs (one command and its log lines per row, tab separated)")
+    times.add_argument("file")
+    times.add_argument("--bases", type=int, default=1)
+    rep = sub.add_parser("replicates", help="mean and deviation of each cell of files of the same form")
+    rep.add_argument("files", nargs="+")
     return top
 
 
@@ -180,6 +192,21 @@ def main(argv: list[str] | None = None) -> int:
             base = f"{a.rstrip('/')}.r12"
             _tsv(found.orderBy("ord").drop("ord"), f"{base}.stat-detail.tsv")
             _tsv(stats.run_summary(found).orderBy("run").drop("run"), f"{base}.stat.tsv")
+    elif args.program == "truth":
+        fastq.read_aln_lengths(spark, args.files).write.mode("overwrite").option("sep", "\t").csv(args.output)
+    elif args.program == "evaluate":
+        truth = spark.read.schema("id string, length int").option("sep", "\t").csv(args.truth)
+        reads = fastq.read_single(spark, args.read1, allow_empty=True)
+        # the id in the table is the read's without @ and up to a slash
+        trimmed = reads.select(F.regexp_extract("id1", "^@([^/]*)", 1).alias("id"), F.length("seq1").alias("trimmed_length"))
+        stats.confusion(truth, trimmed, args.full_length).show(truncate=False)
+    elif args.program == "times":
+        rows = spark.read.text(args.file).select(F.split("value", "\t").alias("p"))
+        stats.time_table(rows.select(F.col("p")[0].alias("command"), F.col("p").alias("lines")), args.bases).show(1000, truncate=False)
+    elif args.program == "replicates":
+        lines = stats.replicate_cells(stats.cells(spark, args.files)).groupBy("line").agg(F.sort_array(F.collect_list(F.struct("cell", "text"))).alias("c"))
+        for r in lines.orderBy("line").select(F.array_join(F.transform("c", lambda x: x["text"]), "\t").alias("t")).toLocalIterator():
+            print(r.t)
     else:
         tables = spark.read.option("sep", "\t").option("header", True).option("inferSchema", True).csv(args.files)
         path = F.input_file_name()

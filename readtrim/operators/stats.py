@@ -6,7 +6,7 @@ import math
 import re
 import statistics
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -212,3 +212,32 @@ def replicates(tables: DataFrame, keys: list[str], values: list[str]) -> DataFra
 def spread(tables: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """As :func:`replicates`, as numbers: ``<value>_mean`` and ``<value>_std``."""
     return tables.groupBy(*keys).agg(*[f(c).alias(f"{c}_{n}") for c in values for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
+
+
+_CELL = r"[\w.:-]+"
+
+
+def cells(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, line, cell, text) of text files of the same form: runs of letters, digits, points, colons and dashes."""
+    from ..sources.fastq import numbered_lines
+
+    found = F.posexplode(F.regexp_extract_all("value", F.lit(_CELL), F.lit(0)))
+    return numbered_lines(spark, paths).select("file", "line", found.alias("cell", "text"))
+
+
+def replicate_cells(found: DataFrame) -> DataFrame:
+    """(line, cell, text): mean and deviation where all files have numbers or times in a cell, else the first file's text."""
+    number = F.col("text").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+    clock = F.col("text").rlike(r"^(\d+:){1,3}\d+(\.\d+)?$")
+    valued = found.withColumn("value", F.when(number, F.col("text").try_cast("double")).when(clock, seconds(F.when(clock, F.col("text")))))
+    dev, mean = F.coalesce(F.stddev_samp("value"), F.lit(0.0)), F.avg("value")
+    g = valued.groupBy("line", "cell").agg(
+        F.min_by("text", "file").alias("first"), F.every(F.col("value").isNotNull()).alias("numeric"), mean.alias("mean"), dev.alias("dev")
+    )
+    digits = 1 - F.floor(F.log10("dev"))
+    scaled = lambda v: F.round(F.col(v) * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits)
+    whole = lambda v: F.bround(v).cast("long").cast("string")
+    both = F.when((F.col("dev") > 0) & (digits > 0), F.concat_ws(" ± ", scaled("mean").cast("string"), scaled("dev").cast("string"))).otherwise(
+        F.concat_ws(" ± ", whole("mean"), whole("dev"))
+    )
+    return g.select("line", "cell", F.when(F.col("numeric"), both).otherwise(F.col("first")).alias("text"))

@@ -289,6 +289,30 @@ def test_times_and_replicates(spark):
     assert {r.k: r.v for r in stats.replicates(df, ["k"], ["v"]).collect()} == {"x": "2.3 ± 1.5", "y": "150 ± 71"}
 
 
+def test_replicated_files_cell_by_cell(spark, tmp_path):
+    for k, (v, t) in enumerate(((1.0, "1:00"), (2.0, "2:00"), (4.0, "3:00"))):
+        (tmp_path / f"r{k}.txt").write_text(f"name\tvalue\nx\t{v}\ntime\t{t}\n")
+    got = {(r.line, r.cell): r.text for r in stats.replicate_cells(stats.cells(spark, [str(tmp_path / f"r{k}.txt") for k in range(3)])).collect()}
+    assert got == {(0, 0): "name", (0, 1): "value", (1, 0): "x", (1, 1): "2.3 ± 1.5", (2, 0): "time", (2, 1): "120 ± 60"}
+
+
+def test_sql_functions_are_the_kernels(spark):
+    from readtrim.functions import sql
+
+    sql.register(spark)
+    rng = np.random.default_rng(3)
+    seqs = [s + ADAPTER1 if k % 2 else s for k, s in enumerate(random_reads(rng, 40, 0, 50, "ACGTN"))] + ["ACGT" + "G" * 12, None]
+    spark.createDataFrame([(k, s) for k, s in enumerate(seqs)], "k int, seq string").createOrReplaceTempView("sql_reads")
+    rows = spark.sql(
+        f"SELECT seq, read_adapter(seq, '{ADAPTER1}', 2) a, read_poly_tail(seq, 'G', 2) g, read_complexity(seq) c, read_count_n(seq) n, read_revcomp(seq) r,"
+        " read_quality_keep(repeat('#', length(seq)), 20, 5) q FROM sql_reads ORDER BY k"
+    ).collect()
+    assert rows[1].a.n == 16 and rows[-2].g == (5, 12) and rows[-1].r == "" and rows[0].q == 0
+    from reads import rc
+
+    assert all(r.r == rc(r.seq) for r in rows if r.seq is not None)
+
+
 # ---------------------------------------------------------------- streams and command line
 
 
@@ -339,3 +363,13 @@ def test_command_line_end_to_end(spark, tmp_path, monkeypatch, capsys):
     assert cli.main(["plot", base + ".R1.randtrim.fastq.r12.stat.tsv", "-o", str(tmp_path / "plots")]) == 0
     table = spark.read.option("sep", "\t").option("header", True).csv(base + ".R1.randtrim.fastq.r12.stat.tsv")
     assert sum(int(r.repeat) for r in table.collect()) == 60 and ADAPTER2
+    (tmp_path / "x.aln").write_text(">chr1\tr-1\t10\t+\nACG-T\nAC-GT\n")
+    assert cli.main(["truth", str(tmp_path / "x.aln"), "-o", str(tmp_path / "truth.tsv")]) == 0
+    (tmp_path / "y.fq").write_text("@r-1/1\nACGT\n+\nIIII\n")
+    capsys.readouterr()
+    assert cli.main(["evaluate", str(tmp_path / "truth.tsv"), str(tmp_path / "y.fq")]) == 0
+    assert "mCC" in capsys.readouterr().out
+    (tmp_path / "t.tsv").write_text("trim -t 4\tUser time (seconds): 2.0\tSystem time (seconds): 1.0\tElapsed (wall clock) time (h:mm:ss or m:ss): 0:02.00\tMaximum resident set size (kbytes): 9\n")
+    assert cli.main(["times", str(tmp_path / "t.tsv"), "--bases", "4000000"]) == 0
+    assert "|1.5" in capsys.readouterr().out.replace(" ", "")
+    assert cli.main(["replicates", str(tmp_path / "t.tsv"), str(tmp_path / "t.tsv")]) == 0

@@ -2,6 +2,8 @@
 
 * Text view: hashed words, word shapes and form ratios of the whole text (DIM features). Metadata view: language,
   source, their pair and the length class (META features).
+* Both views of every row are made once, map side, and kept as sparse rows in the shared folder; every later step
+  (drawing the sample, each round's scores, the final ones) reads those instead of the texts.
 * Each round both logistic models are fitted, score every document, and each hands its MOST most confident documents
   of either class (at least CONFIDENT sure) to the other's training set as pseudo-labels.
 * Both views are calibrated (Platt) on a held-out fifth of the labelled sample; the final score adds their calibrated
@@ -26,77 +28,90 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-DIM, META = 4096, 256
+from .common import materialize
+
+DIM, META, FORM = 4096, 256, 16
 SAMPLE, MOST, ROUNDS, CONFIDENT = 1500, 250, 2, 0.9
-_CACHE: dict[str, tuple[int, int]] = {}
-_LIMIT = 300_000
 _SYMBOLS = "#*$%&|<>"
+_LIMIT = 300_000
+_WORDS: dict[str, tuple[int, int, int]] = {}
+_SHAPES: dict[str, int] = {}
 
 
-def _slot(x: str, dim: int) -> int:
-    from xxhash import xxh64_intdigest
+class _Kinds(dict):
+    """Letter, digit or sign, for str.translate."""
 
-    return xxh64_intdigest(x, 11) % dim
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
+        return self[code]
 
 
-def _shape(word: str) -> str:
-    """Letters, digits and other signs of a word's end and beginning, runs as one."""
-    out = ""
-    for c in word[:4] + word[-4:]:
-        k = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
-        if out[-1:] != k:
-            out += k
-    return out
+_KINDS = _Kinds()
 
 
-def _slots(word: str) -> tuple[int, int]:
-    found = _CACHE.get(word)
+def _slot(x: str, dim: int) -> int:
+    return xxh64_intdigest(x, 11) % dim
+
+
+def _shape(kinds: str) -> int:
+    """Slot of a word's beginning and end as kinds of characters, runs as one."""
+    found = _SHAPES.get(kinds)
     if found is None:
-        found = (16 + _slot("w" + word.lower(), DIM - 16), 16 + _slot("s" + _shape(word), DIM - 16))
-        if len(word) <= 48:
-            if len(_CACHE) >= _LIMIT:
-                _CACHE.clear()
-            _CACHE[word] = found
+        out = "".join(c for k, c in enumerate(kinds) if not k or kinds[k - 1] != c)
+        found = FORM + _slot("s" + out, DIM - FORM)
+        if len(_SHAPES) < _LIMIT:
+            _SHAPES[kinds] = found
     return found
 
 
-def text_features(text: str) -> np.ndarray:
-    """DIM numbers: 16 for form ratios, the rest hashed words and shapes (log counts, unit length)."""
-    v = np.zeros(DIM, np.float32)
+def _word(word: str) -> tuple[int, int, int]:
+    """(slot of the word, slot of its shape, capitals)."""
+    made = (FORM + _slot("w" + word.lower(), DIM - FORM), _shape((word[:4] + word[-4:]).translate(_KINDS)), 0 if word.islower() else sum(map(str.isupper, word)))
+    if len(word) <= 48:
+        if len(_WORDS) >= _LIMIT:
+            _WORDS.clear()
+        _WORDS[word] = made
+    return made
+
+
+def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, values) of the text view: form ratios, and hashed words and shapes (log counts, unit length)."""
     words = text.split()
     n = len(words)
-    if n:
-        counts = Counter(words)
-        for w, k in counts.items():
-            a, b = _slots(w)
-            v[a] += k
-            v[b] += k
-        np.log1p(v, out=v)
-        v /= max(float(np.linalg.norm(v)), 1e-9)
-        chars = max(len(text), 1)
-        lines = [x for x in text.split("\n") if x.strip()]
-        top = counts.most_common(1)[0][1]
-        v[:10] = (
-            min(sum(text.count(c) for c in _SYMBOLS) / n, 2.0),
-            min(text.count("!") / n, 2.0),
-            min((chars - n) / n / 8, 3.0),
-            len(counts) / n,
-            top / n,
-            1 - len(set(lines)) / max(len(lines), 1),
-            min(sum(map(str.isupper, text)) / chars, 1.0),
-            min(math.log1p(n) / 8, 2.0),
-            min(len(lines) / n * 4, 2.0),
-            1.0,
-        )
-    return v
+    if not n:
+        return np.zeros(0, np.int16), np.zeros(0, np.float32)
+    counts = Counter(words)
+    look = _WORDS.get
+    rows = [look(w) or _word(w) for w in counts]
+    table = np.array(rows, np.int64)
+    k = np.fromiter(counts.values(), np.float64, len(rows))
+    v = np.bincount(table[:, 0], k, DIM) + np.bincount(table[:, 1], k, DIM)
+    slots = np.flatnonzero(v)
+    values = np.log1p(v[slots])
+    values /= max(float(np.linalg.norm(values)), 1e-9)
+    chars = max(len(text), 1)
+    lines = [x for x in text.split("\n") if x.strip()]
+    form = (
+        min(sum(text.count(c) for c in _SYMBOLS) / n, 2.0),
+        min(text.count("!") / n, 2.0),
+        min((chars - n) / n / 8, 3.0),
+        len(counts) / n,
+        float(k.max()) / n,
+        1 - len(set(lines)) / max(len(lines), 1),
+        min(float(k @ table[:, 2]) / chars, 1.0),
+        min(math.log1p(n) / 8, 2.0),
+        min(len(lines) / n * 4, 2.0),
+        1.0,
+    )
+    return np.concatenate([np.arange(len(form)), slots]).astype(np.int16), np.concatenate([form, values]).astype(np.float32)
 
 
 def meta_features(lang: str | None, source: str | None, n: int) -> np.ndarray:
-    v = np.zeros(META, np.float32)
-    for x in (f"l{lang}", f"s{source}", f"p{lang}|{source}", f"n{int(n).bit_length()}"):
-        v[_slot(x, META)] += 0.5
-    return v
+    """Slots of the metadata view, each worth 0.5 (a slot may be there twice)."""
+    return np.array([_slot(x, META) for x in (f"l{lang}", f"s{source}", f"p{lang}|{source}", f"n{int(n).bit_length()}")], np.int16)
 
 
 def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 150, lr: float = 0.1) -> tuple[np.ndarray, float]:
@@ -140,42 +155,69 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 0.0)), float(b)
 
 
-def _columns(docs: DataFrame, id_col: str) -> DataFrame:
-    return docs.select(F.col(id_col), *[F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")])
-
-
-def _features(docs: DataFrame, ids: DataFrame, id_col: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Both views of the documents with these ids; ``ids`` is bounded by the caller (SAMPLE, MOST)."""
+def _views(docs: DataFrame, id_col: str) -> DataFrame:
+    """(id, slots, values, meta): both views of every row, sparse."""
+    arrays = {"slots": pa.int16(), "values": pa.float32(), "meta": pa.int16()}
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, lang, source = (b.column(k).to_pylist() for k in (1, 2, 3))
-            t = [text_features(x or "").astype("<f4").tobytes() for x in text]
-            m = [meta_features(lg, s, len(x or "")).astype("<f4").tobytes() for x, lg, s in zip(text, lang, source, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t, pa.binary()), pa.array(m, pa.binary())], names=["id", "t", "m"])
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                text, lang, source = (part.column(k).to_pylist() for k in (1, 2, 3))
+                made = [text_features(x or "") for x in text]
+                meta = [meta_features(lg, s, len(x or "")) for x, lg, s in zip(text, lang, source, strict=True)]
+                columns = ([m[0] for m in made], [m[1] for m in made], meta)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *(_lists(c, kind) for c, kind in zip(columns, arrays.values(), strict=True))], names=[id_col, *arrays]
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    picked = _columns(docs, id_col).join(F.broadcast(ids.select(id_col)), id_col, "left_semi")
-    found = picked.mapInArrow(make, f"id {kind}, t binary, m binary").dropDuplicates(["id"])
-    rows = found.toLocalIterator()
-    return {r.id: (np.frombuffer(r.t, "<f4"), np.frombuffer(r.m, "<f4")) for r in rows}
+    columns = docs.select(F.col(id_col), *[F.col(c).cast("string").alias(f"__{c}") for c in ("text", "lang", "source")])
+    return columns.mapInArrow(make, f"`{id_col}` {kind}, slots array<smallint>, values array<float>, meta array<smallint>")
+
+
+def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0), kind))
+
 
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each element, elements) of a list column."""
+    ends = column.offsets.to_numpy()
+    return np.repeat(np.arange(len(column)), np.diff(ends)), column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
 
-def _scored(docs: DataFrame, models, id_col: str) -> DataFrame:
+
+def _known(views: DataFrame, ids: DataFrame, id_col: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Both views of the documents with these ids, dense; ``ids`` is bounded by the caller (SAMPLE, MOST)."""
+    picked = views.join(F.broadcast(ids.select(id_col)), id_col, "left_semi")
+    # copies of an id: the one with the fewest, then smallest features, whatever the partitions
+    own = picked.groupBy(id_col).agg(F.min(F.struct(F.size("slots").alias("n"), "slots", "values", "meta")).alias("v"))
+    out = {}
+    for r in own.select(id_col, "v.slots", "v.values", "v.meta").toLocalIterator():
+        t, m = np.zeros(DIM, np.float32), np.zeros(META, np.float32)
+        t[r.slots] = r["values"]
+        np.add.at(m, r.meta, 0.5)
+        out[r[0]] = (t, m)
+    return out
+
+
+def _scored(views: DataFrame, models, id_col: str) -> DataFrame:
     """(id, z_text, z_meta): calibrated log-odds of both views for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = views.sparkSession.sparkContext.broadcast(models)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (wt, bt, at, ct), (wm, bm, am, cm) = shared.value
+        line = lambda z, a, c: pa.array(np.clip(z, -30, 30) * a + c)
         for b in batches:
-            text, lang, source = (b.column(k).to_pylist() for k in (1, 2, 3))
-            zt = [float(text_features(x or "") @ wt) + bt for x in text]
-            zm = [float(meta_features(lg, s, len(x or "")) @ wm) + bm for x, lg, s in zip(text, lang, source, strict=True)]
-            line = lambda z, a, c: pa.array((np.clip(np.array(z, float), -30, 30) * a + c))
+            row, slots = _flat(b.column(1))
+            _, values = _flat(b.column(2))
+            meta_row, meta = _flat(b.column(3))
+            zt = np.bincount(row, wt[slots] * values.astype(np.float64), b.num_rows) + bt
+            zm = np.bincount(meta_row, wm[meta] * 0.5, b.num_rows) + bm
             yield pa.RecordBatch.from_arrays([b.column(0), line(zt, at, ct), line(zm, am, cm)], names=[id_col, "z_text", "z_meta"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return _columns(docs, id_col).mapInArrow(score, f"`{id_col}` {kind}, z_text double, z_meta double")
+    kind = views.schema[id_col].dataType.simpleString()
+    return views.mapInArrow(score, f"`{id_col}` {kind}, z_text double, z_meta double")
 
 
 def _most(scored: DataFrame, view: str, id_col: str) -> list[tuple[int, int]]:
@@ -190,8 +232,6 @@ def _most(scored: DataFrame, view: str, id_col: str) -> list[tuple[int, int]]:
 
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
     """Per row: id, ``p_text``, ``p_meta``, ``score`` (probability of being good) and ``kept`` (score >= 0.5)."""
-    from .common import materialize
-
     spark = docs.sparkSession
     given = materialize(
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col)
@@ -208,7 +248,8 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
         "sample",
     )
     truth = {r[0]: r.y for r in picked.collect()}
-    known = _features(docs, picked, id_col)
+    views = materialize(_views(docs, id_col), "views")
+    known = _known(views, picked, id_col)
     ids = sorted((i for i in known if i in truth), key=lambda i: _slot(str(i), 1 << 30))
     held, train = ids[: len(ids) // 5], ids[len(ids) // 5 :]
     extra: list[dict] = [{}, {}]  # pseudo-labels of the text view's and the metadata view's training sets
@@ -228,17 +269,17 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
         return models
 
     for _ in range(rounds):
-        scored = materialize(_scored(docs, both(), id_col), "scored")
+        scored = materialize(_scored(views, both(), id_col), "scored")
         chosen = {"z_text": _most(scored, "z_text", id_col), "z_meta": _most(scored, "z_meta", id_col)}
         new = {i for found in chosen.values() for i, _ in found if i not in truth and i not in known}
         if new:
             frame = spark.createDataFrame([(i,) for i in sorted(new)], docs.select(id_col).schema)
-            known |= _features(docs, frame, id_col)
+            known |= _known(views, frame, id_col)
         for view, teacher in ((0, "z_meta"), (1, "z_text")):  # each is taught by the other
             extra[view] |= {i: y for i, y in chosen[teacher] if i not in truth and i in known}
     prior = math.log(share / (1 - share))
     return (
-        _scored(docs, both(), id_col)
+        _scored(views, both(), id_col)
         .withColumn("z", F.col("z_text") + F.col("z_meta") + F.lit(prior))
         .select(id_col, lg("z_text").alias("p_text"), lg("z_meta").alias("p_meta"), lg("z").alias("score"), (F.col("z") >= 0).alias("kept"))
     )

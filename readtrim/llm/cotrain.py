@@ -7,7 +7,7 @@
 * Each round both logistic models are fitted, score every document, and each hands its MOST most confident documents
   of either class (at least CONFIDENT sure) to the other's training set as pseudo-labels.
 * Both views are calibrated (Platt) on a held-out fifth of the labelled sample; the final score adds their calibrated
-  log-odds to the log-odds of the share of good labels.
+  log-odds to the log-odds of the share of good labels. A document is kept if the calibrated views together speak for it.
 
 Models are fitted on the driver: on at most SAMPLE labelled documents of each class (those with the smallest hash of
 their id) and at most 2 * MOST pseudo-labels a view and round; these are documented bounds, and so is the size of
@@ -231,7 +231,8 @@ def _most(scored: DataFrame, view: str, id_col: str) -> list[tuple[int, int]]:
 
 
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
-    """Per row: id, ``p_text``, ``p_meta``, ``score`` (probability of being good) and ``kept`` (score >= 0.5)."""
+    """Per row: id, ``p_text``, ``p_meta``, ``score`` (probability of being good) and ``kept``: the views' joint evidence
+    speaks for good (score >= the share of good labels, so that rare bad documents aren't overruled by their rarity)."""
     spark = docs.sparkSession
     given = materialize(
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col)
@@ -281,5 +282,5 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     return (
         _scored(views, both(), id_col)
         .withColumn("z", F.col("z_text") + F.col("z_meta") + F.lit(prior))
-        .select(id_col, lg("z_text").alias("p_text"), lg("z_meta").alias("p_meta"), lg("z").alias("score"), (F.col("z") >= 0).alias("kept"))
+        .select(id_col, lg("z_text").alias("p_text"), lg("z_meta").alias("p_meta"), lg("z").alias("score"), (F.col("z_text") + F.col("z_meta") >= 0).alias("kept"))
     )

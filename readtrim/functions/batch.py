@@ -18,7 +18,6 @@ for _c in range(1, 16):
     COMPLEMENT[LETTER[_c]] = LETTER[SWAP[_c]]
 
 PAD = 40  # columns of zeros behind every row: windows may run over the end
-_Q = np.minimum(np.arange(256), 50)
 
 
 def to_matrix(column: pa.Array, pad: int = PAD) -> tuple[np.ndarray, np.ndarray]:
@@ -44,24 +43,27 @@ def to_column(matrix: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(data.tobytes())).cast(pa.string())
 
 
-def probabilities(qual: np.ndarray, offset: int, n: np.ndarray) -> np.ndarray:
-    """Chance that a base is right: 1 - 10^(-q/10) with q at most 50. A quality below the offset is an error."""
-    inside = np.arange(qual.shape[1]) < n[:, None]
-    q = qual.astype(np.int64) - offset
-    if (q[inside] < 0).any():
-        raise ValueError("quality below the offset: wrong quality format?")
-    table = 1 - 10 ** (-_Q[:51] / 10)
-    return np.where(inside, table[np.clip(q, 0, 50)], 0.0)
+def chances(offset: int) -> np.ndarray:
+    """Chance that a base is right by quality character: 1 - 10^(-q/10) with q at most 50; NaN below the offset."""
+    q = np.arange(256) - offset
+    return np.where(q < 0, np.nan, 1 - 10 ** (-np.clip(q, 0, 50) / 10))
+
+
+def gather(matrix: np.ndarray, columns: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    """``matrix[rows, columns]`` for a matrix of columns (inside the matrix), one line per row."""
+    first = (np.arange(len(matrix)) if rows is None else rows) * matrix.shape[1]
+    return np.take(matrix.ravel(), columns + first[:, None])
 
 
 class Mate:
-    """One mate of a batch: letters, qualities and lengths; ``codes`` and ``prob`` are made when first asked for."""
+    """One mate of a batch: letters, qualities and lengths. Both matrices are zero behind each read's end."""
 
     def __init__(self, seq: np.ndarray, qual: np.ndarray, n: np.ndarray, offset: int = 33):
         width = max(seq.shape[1], qual.shape[1])
         self.seq, self.qual = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) if x.shape[1] < width else x for x in (seq, qual))
         self.n, self.offset = n.astype(np.int64), offset
-        self._codes = self._prob = None
+        self._codes: np.ndarray | None = None
+        self._chances: np.ndarray | None = None
 
     @classmethod
     def of(cls, seq: pa.Array, qual: pa.Array, offset: int = 33) -> Mate:
@@ -80,34 +82,39 @@ class Mate:
     def codes(self) -> np.ndarray:
         """Bits of the bases; zero behind the end."""
         if self._codes is None:
-            self._codes = np.where(self.inside, CODE[self.seq], 0).astype(np.uint8)
+            self._codes = CODE[self.seq]
         return self._codes
 
-    @property
-    def prob(self) -> np.ndarray:
-        if self._prob is None:
-            self._prob = probabilities(self.qual, self.offset, self.n)
-        return self._prob
+    def prob(self, columns: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """Chances of the bases at ``columns``. A quality below the offset anywhere in the batch is an error."""
+        if self._chances is None:
+            if ((self.qual < self.offset) & (self.qual > 0)).any():
+                raise ValueError("quality below the offset: wrong quality format?")
+            self._chances = chances(self.offset)
+        return self._chances[gather(self.qual, columns, rows)]
 
     def changed(self) -> None:
-        self._codes = self._prob = None
+        self._codes = None
 
     def take(self, rows: np.ndarray) -> Mate:
         return Mate(self.seq[rows], self.qual[rows], self.n[rows], self.offset)
 
     def keep_head(self, keep: np.ndarray) -> None:
         """Keep the first ``keep`` bases where that is fewer than there are."""
-        self.n = np.clip(keep, 0, self.n)
-        if self._codes is not None:
-            self._codes = np.where(self.inside, self._codes, 0).astype(np.uint8)
-        # `prob` is only read inside the length
+        keep = np.clip(keep, 0, self.n)
+        rows = np.flatnonzero(keep < self.n)
+        self.n = keep
+        if len(rows):
+            inside = np.arange(self.seq.shape[1]) < keep[rows][:, None]
+            for matrix in (self.seq, self.qual) if self._codes is None else (self.seq, self.qual, self._codes):
+                matrix[rows] *= inside
 
     def drop_head(self, drop: np.ndarray) -> None:
         drop = np.clip(drop, 0, self.n)
         if not drop.any():
             return
-        at = np.minimum(np.arange(self.seq.shape[1]) + drop[:, None], self.seq.shape[1] - 1)
-        self.seq, self.qual = np.take_along_axis(self.seq, at, 1), np.take_along_axis(self.qual, at, 1)
+        at = np.minimum(np.arange(self.seq.shape[1]) + drop[:, None], self.seq.shape[1] - 1)  # the last column is zero
+        self.seq, self.qual = gather(self.seq, at), gather(self.qual, at)
         self.n = self.n - drop
         self.changed()
 
@@ -116,5 +123,9 @@ class Mate:
 
 
 def reverse_complement(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(codes)
+    if len(n) and (n == n[0]).all():
+        out[:, : n[0]] = SWAP[codes[:, : n[0]][:, ::-1]]
+        return out
     at = n[:, None] - 1 - np.arange(codes.shape[1])
-    return np.where(at >= 0, SWAP[np.take_along_axis(codes, np.maximum(at, 0), 1)], 0).astype(np.uint8)
+    return SWAP[gather(codes, np.where(at >= 0, at, codes.shape[1] - 1))]  # the last column is zero

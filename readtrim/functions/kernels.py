@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .batch import CODE, COMPLEMENT, Mate, reverse_complement
+from .batch import CODE, COMPLEMENT, SWAP, Mate, gather, reverse_complement
 
 NEVER = np.int64(1 << 60)
 
@@ -133,7 +133,7 @@ def mean_probability(mate: Mate, start: np.ndarray, length: int = 16, end: np.nd
     lo, hi = np.maximum(start, 1), np.minimum(end, mate.n)
     k = lo[:, None] + np.arange(length)
     ok = k <= hi[:, None]
-    p = np.take_along_axis(mate.prob, np.clip(k - 1, 0, mate.prob.shape[1] - 1), 1)
+    p = mate.prob(np.where(ok, k - 1, 0))
     return np.where(ok, p, 0).sum(axis=1) / np.maximum(ok.sum(axis=1), 1)
 
 
@@ -142,26 +142,32 @@ def mean_probability(mate: Mate, start: np.ndarray, length: int = 16, end: np.nd
 
 def quality_keep(qual: np.ndarray, n: np.ndarray, score: int, window: int, offset: int) -> np.ndarray:
     """How many bases to keep: up to the first low base of the first low window; n where there is none."""
-    rows, width = qual.shape
-    q = qual.astype(np.int64)
-    inside = np.arange(width) < n[:, None]
-    low = inside & (q < score + offset)
+    keep = n.astype(np.int64).copy()
+    width = qual.shape[1]
+    if not width:
+        return keep
+    columns = np.arange(width)
+    low = (qual < score + offset) & (columns < n[:, None])
+    rows = np.flatnonzero(low.any(axis=1))  # most good reads have no low base at all
+    if not len(rows):
+        return keep
+    low, q, n = low[rows], qual[rows], n[rows]
     nxt = _next(low)  # first low base at or after each position (0-based)
-    start = nxt[:, 0] if width else np.full(rows, width)
-    sums = np.concatenate([np.zeros((rows, 1), np.int64), np.cumsum(np.where(inside, q, 0), axis=1)], axis=1)
-    ends = np.minimum(np.arange(width) + window, width)
-    total = sums[:, ends] - sums[:, :width]
-    k = np.arange(width)
-    poor = (total < (score + offset) * window) & (k + window <= n[:, None]) & (k >= start[:, None])
+    start = nxt[:, 0]
+    sums = np.zeros((len(rows), width + 1), np.int32)
+    np.cumsum(np.where(columns < n[:, None], q, 0), axis=1, dtype=np.int32, out=sums[:, 1:])
+    total = sums[:, np.minimum(columns + window, width)] - sums[:, :width]
+    poor = (total < (score + offset) * window) & (columns + window <= n[:, None]) & (columns >= start[:, None])
     stop = np.where(poor.any(axis=1), poor.argmax(axis=1), np.maximum(start, n - window + 1))
-    cut = nxt[np.arange(rows), np.minimum(stop, width - 1)]
-    return np.where((start < n) & (stop < n), np.minimum(cut, n), n)
+    cut = nxt[np.arange(len(rows)), np.minimum(stop, width - 1)]
+    keep[rows] = np.where((start < n) & (stop < n), np.minimum(cut, n), n)
+    return keep
 
 
 def _next(flag: np.ndarray) -> np.ndarray:
     """Column of the next True at or after each column; the width if there is none."""
     width = flag.shape[1]
-    at = np.where(flag, np.arange(width), width)
+    at = np.where(flag, np.arange(width, dtype=np.int32), np.int32(width))
     return np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1]
 
 
@@ -171,36 +177,49 @@ def tail_keep(flag: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(ok.any(axis=1), flag.shape[1] - ok[:, ::-1].argmax(axis=1), 0)
 
 
-def poly_tail(mate: Mate, base: str, mismatches: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first position, length) of a tail of one base; (0, 0) without one. ``mismatches`` are allowed in all."""
-    x, n = CODE[ord(base)], mate.n
-    codes, width = mate.codes, mate.codes.shape[1]
+def poly_tail(mate: Mate, base: str, mismatches: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(first position, length) of a tail of one base; (0, 0) without one. ``mismatches`` are allowed in all.
+
+    Tails shorter than ``least`` may come out as (0, 0).
+    """
+    idx, length = np.zeros(len(mate.n), np.int64), np.zeros(len(mate.n), np.int64)
+    x = CODE[ord(base)]
+    # the last bases tell most reads apart: a tail holds its mismatches and one bridged at most
+    back = mate.n[:, None] - 1 - np.arange(least)
+    last = gather(mate.codes, np.maximum(back, 0))
+    misses = ((last & x != x) & (back >= 0)).sum(axis=1)
+    rows = np.flatnonzero((misses <= mismatches + 1) & (mate.n >= least))
+    if len(rows):
+        idx[rows], length[rows] = _poly_tail(mate.codes[rows], mate.n[rows], x, mismatches)
+    return idx, length
+
+
+def _poly_tail(codes: np.ndarray, n: np.ndarray, x: int, mismatches: int) -> tuple[np.ndarray, np.ndarray]:
+    width = codes.shape[1]
     rows = np.arange(len(n))
-    back = n[:, None] - 1 - np.arange(width)  # column k of the turned matrices is the k-th base from the end
-    turned = np.where(back >= 0, np.take_along_axis(codes, np.maximum(back, 0), 1), 0)
+    columns = np.arange(width)
+    inside = columns < n[:, None]
+    back = n[:, None] - 1 - columns  # column k of the turned matrices is the k-th base from the end
     there = back >= 0
+    turned = np.where(there, gather(codes, np.maximum(back, 0)), 0)
     like = there & (turned & x == x)
-    misses = np.cumsum(there & ~like, axis=1)
-    over = misses > mismatches
+    over = np.cumsum(there & ~like, axis=1, dtype=np.int32) > mismatches
     stop = np.where(over.any(axis=1), over.argmax(axis=1), n)  # the scan breaks here
-    hit = like & (np.arange(width) < stop[:, None])
+    hit = like & (columns < stop[:, None])
     best = np.where(hit.any(axis=1), width - hit[:, ::-1].argmax(axis=1), 0)  # bases from the end
     # one more mismatch is bridged if the very base goes on behind it
-    exact = there & (turned == x)
-    after = _next(~exact)
+    after = _next(~(there & (turned == x)))
     beyond = np.minimum(stop + 1, width - 1)
     run = np.where(stop + 1 < n, after[rows, beyond] - (stop + 1), 0)
     best = np.where(run > 0, stop + 1 + run, best)
     idx = np.where(best > 0, n - best + 1, 0)
     # look back to the right: a weak beginning is given up
-    forward = (codes == x) & mate.inside
-    other = ~forward & mate.inside
+    forward = codes == x
     at = np.minimum(idx, width - 1)  # 0-based column behind the first base
-    end = n
-    first_other = np.minimum(_next(other)[rows, at], end)
+    first_other = np.minimum(_next(~forward & inside)[rows, at], n)
     matched = np.minimum(np.maximum(first_other - at, 0), mismatches)
-    stopped = (matched >= mismatches) | (at + matched >= end)
-    nxt = np.minimum(_next(forward)[rows, np.minimum(at + matched, width - 1)], end)
+    stopped = (matched >= mismatches) | (at + matched >= n)
+    nxt = np.minimum(_next(forward)[rows, np.minimum(at + matched, width - 1)], n)
     missed = np.where(stopped, 0, nxt - (at + matched))
     idx = np.where((idx > 0) & (missed >= 1 + matched), at + matched + missed + 1, idx)
     idx = np.where(idx > n, 0, idx)
@@ -337,13 +356,17 @@ def shift_by_one(mate: Mate, adapter: str, keep: np.ndarray, check: int = 4) ->
     def same(at: np.ndarray) -> np.ndarray:
         k = at[:, None] - 1 + np.arange(len(head))
         ok = (k >= 0) & (k < mate.n[:, None])
-        return ((np.take_along_axis(mate.codes, np.clip(k, 0, mate.codes.shape[1] - 1), 1) == head) & ok).sum(axis=1)
+        return ((gather(mate.codes, np.where(ok, k, 0)) == head) & ok).sum(axis=1)
 
     here, left, right = same(keep + 1), same(keep), same(keep + 2)
     move = np.where(here >= left, np.where(here >= right, 0, 1), np.where(left >= right, -1, 1))
     return np.where((keep >= mate.n - 3) | (keep < 1), keep, keep + move)
 
 
+#: N of mate 2 counts as a gap.
+_NO_N = np.where(np.arange(16) == 15, 0, SWAP).astype(np.uint8)
+
+
 def call_consensus(r1: Mate, r2: Mate, rows: np.ndarray, size: np.ndarray, o: PairOptions) -> np.ndarray:
     """Correct ``rows`` in place where the mates overlap: the base with the better quality overwrites the other.
 
@@ -359,45 +382,43 @@ def call_consensus(r1: Mate, r2: Mate, rows: np.ndarray, size: np.ndarray, o: Pa
     skip = np.where(short, bump.astype(np.int64), n2 - ins)  # bases of mate 2's reverse complement before the overlap
     overlap = np.minimum(np.where(short, n2 - bump, ins), n1 - first + 1)
     ok = (overlap > 0) & (ins > 0)
-    rows, n1, n2, ins, first, skip, overlap = (x[ok] for x in (rows, n1, n2, ins, first, skip, overlap))
+    rows, n1, n2, ins, first, skip, overlap = (v[ok] for v in (rows, n1, n2, ins, first, skip, overlap))
     if not len(rows):
         return rows
-    c1, c2 = r1.codes[rows], r2.codes[rows]
-    rc2 = reverse_complement(c2, n2)
-    width = int(overlap.max())
-    k = np.arange(width)
-    inside = k < overlap[:, None]
-    x = np.take_along_axis(c1, np.minimum(first[:, None] - 1 + k, c1.shape[1] - 1), 1)
-    y = np.where(inside, np.take_along_axis(rc2, np.minimum(skip[:, None] + k, rc2.shape[1] - 1), 1), 0)
-    y = np.where(y == 15, 0, y)  # an N of mate 2 is no mismatch
-    wrong = np.bitwise_count(y & ~x & 15).astype(np.int64)
+    columns = np.arange(int(overlap.max()))
+    inside = columns < overlap[:, None]
+    x = gather(r1.codes, np.minimum(first[:, None] - 1 + columns, r1.codes.shape[1] - 1), rows)
+    # base k of mate 2's reverse complement is the complement of its base n - k + 1; an N of mate 2 is no mismatch
+    at = n2[:, None] - 1 - skip[:, None] - columns
+    inside &= at >= 0
+    y = np.where(inside, _NO_N[gather(r2.codes, np.where(inside, at, 0), rows)], 0)
+    wrong = np.bitwise_count(y & ~x & 15)
     steps = (overlap + 1) // 2
     blocks = steps // 8  # all but the last one read
-    seen = np.where(k < 16 * blocks[:, None], wrong, 0).sum(axis=1)
+    seen = np.where(columns < 16 * blocks[:, None], wrong, 0).sum(axis=1)
     ones = overlap - -(-steps // 8) * 16 + 16 * blocks + seen
     good = ones <= np.floor((1 + o.min_ratio_mismatch) * overlap).astype(np.int64)
-    rows, n1, ins, first = rows[good], n1[good], ins[good], first[good]
+    rows, n1, n2, ins, first = rows[good], n1[good], n2[good], ins[good], first[good]
     if not len(rows):
         return rows
     last = np.minimum(n1, ins)
     i = first[:, None] + np.arange(max(int((last - first).max()) + 1, 0))
-    live = i <= last[:, None]
     j = ins[:, None] - i + 1
-    live &= (j >= 1) & (j <= r2.n[rows][:, None])
-    ii, jj = np.clip(i - 1, 0, r1.seq.shape[1] - 1), np.clip(j - 1, 0, r2.seq.shape[1] - 1)
-    a, b = np.take_along_axis(r1.codes[rows], ii, 1), np.take_along_axis(r2.codes[rows], jj, 1)
-    from .batch import SWAP
-
-    pa_, pb = np.take_along_axis(r1.prob[rows], ii, 1), np.take_along_axis(r2.prob[rows], jj, 1)
-    differ = live & (SWAP[a] != b)
-    to2, to1 = differ & (pa_ - pb > o.prob_diff), differ & (pb - pa_ > o.prob_diff)
+    live = (i <= last[:, None]) & (j >= 1) & (j <= n2[:, None])
+    ii, jj = np.where(live, i - 1, 0), np.where(live, j - 1, 0)
+    differ = live & (SWAP[gather(r1.codes, ii, rows)] != gather(r2.codes, jj, rows))
+    some = np.flatnonzero(differ.any(axis=1))  # most overlaps agree
+    if not len(some):
+        return rows
+    at, ii, jj, differ = rows[some], ii[some], jj[some], differ[some]
+    p1, p2 = r1.prob(ii, at), r2.prob(jj, at)
+    to2, to1 = differ & (p1 - p2 > o.prob_diff), differ & (p2 - p1 > o.prob_diff)
     for put, dst, di, src, si in ((to2, r2, jj, r1, ii), (to1, r1, ii, r2, jj)):
         r, c = np.nonzero(put)
-        d, s = di[r, c], si[r, c]
-        dst.seq[rows[r], d] = COMPLEMENT[src.seq[rows[r], s]]
-        dst.qual[rows[r], d] = src.qual[rows[r], s]
-    r1.changed()
-    r2.changed()
+        d, f = di[r, c], si[r, c]
+        dst.seq[at[r], d] = COMPLEMENT[src.seq[at[r], f]]
+        dst.qual[at[r], d] = src.qual[at[r], f]
+        dst.codes[at[r], d] = CODE[dst.seq[at[r], d]]
     return rows
 
 
@@ -405,7 +426,7 @@ def overlap_consensus(r1: Mate, r2: Mate, rc1: np.ndarray, rc2: np.ndarray, rows
     """Consensus of pairs without adapters: both mates must tell the same overlap."""
     if not len(rows):
         return rows
-    x, y = r1.take(rows), r2.take(rows)
+    x, y = (r1, r2) if len(rows) == len(r1) else (r1.take(rows), r2.take(rows))
     h1 = scan(rc2[rows], x.codes, x.n, 1, o.kmer_tolerance_consensus)
     h2 = scan(rc1[rows], y.codes, y.n, 1, o.kmer_tolerance_consensus)
     over1, over2 = x.n - h1.idx + 1, y.n - h2.idx + 1
@@ -423,8 +444,8 @@ def trim_pairs(r1: Mate, r2: Mate, live: np.ndarray, adapters: list[tuple[str, s
 
     Of several adapter pairs the first with the best score counts; above 28.8 no further one is tried.
     """
-    rows = np.flatnonzero(live)
-    x, y = r1.take(rows), r2.take(rows)
+    rows, whole = np.flatnonzero(live), bool(live.all())
+    x, y = (r1, r2) if whole else (r1.take(rows), r2.take(rows))
     rc1, rc2 = reverse_complement(x.codes, x.n), reverse_complement(y.codes, y.n)
     m = len(rows)
     best = Decision(np.zeros(m, bool), np.full(m, NEVER), np.full(m, NEVER), np.full(m, -1.0))
@@ -448,7 +469,7 @@ def trim_pairs(r1: Mate, r2: Mate, live: np.ndarray, adapters: list[tuple[str, s
         keep2 = np.where(mine, np.maximum(shift_by_one(y, a2, best.size2), 0), keep2)
     x.keep_head(keep1)
     y.keep_head(keep2)
-    for mate, part in ((r1, x), (r2, y)):
+    for mate, part in () if whole else ((r1, x), (r2, y)):
         mate.seq[rows], mate.qual[rows], mate.n[rows] = part.seq, part.qual, part.n
         mate.changed()
     out = np.zeros(len(r1), bool)
@@ -469,5 +490,5 @@ def infer_adapters(r1: Mate, r2: Mate, tolerance: int = 3, few: int = 9):
         end = np.minimum(start + 15, mate.n)
         length = np.where(hit.n < few, 0, np.maximum(end - start + 1, 0))
         k = np.clip(start[:, None] - 1 + np.arange(16), 0, mate.seq.shape[1] - 1)
-        found.append((np.take_along_axis(mate.seq, k, 1), length, mean_probability(mate, start, end=end)))
+        found.append((gather(mate.seq, k), length, mean_probability(mate, start, end=end)))
     return start, found

@@ -126,7 +126,7 @@ class Pipeline:
 
         def kernel(b: Batch) -> None:
             for k, m in enumerate(b.mates):
-                first, length = kernels.poly_tail(m, base, o.poly_mismatch_per_16mer)
+                first, length = kernels.poly_tail(m, base, o.poly_mismatch_per_16mer, o.poly_length)
                 found = b.live & (length >= o.poly_length)
                 b.count(counter, k, found)
                 b.keep(k, np.where(found, first - 1, m.n))

@@ -18,3 +18,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/readtrim-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files can't be split that far (one gzip file, one small row group)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

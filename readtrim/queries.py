@@ -15,7 +15,7 @@ from .functions import exprs
 from .operators import dedup, detect, simulate, stats
 from .plans.options import ADAPTER1, TrimOptions
 from .plans.pipeline import Pipeline
-from .plans.store import materialize
+from .plans.store import materialize, spread
 from .sources import fastq
 from .sources.adapters import KNOWN_ADAPTERS
 from .streaming.trim import trim_stream
@@ -60,7 +60,7 @@ FROM r
 
 
 def read_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PAIRS_SQL, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return spark.sql(PAIRS_SQL, orders=spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")))
 
 
 _P = f"p AS ({PAIRS_SQL.format(orders='orders')})"
@@ -395,14 +395,14 @@ def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_P} SELECT idx, id1, seq1, qual1, id2, seq2, qual2 FROM p")
 def fastq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs written as two FASTQ files (plain and gzip) and read back."""
+    """Pairs written as two FASTQ files (folders of parts, plain and gzip) and read back."""
     from uuid import uuid4
 
     pairs = read_pairs(spark, sf_dir)
     materialize(spark.range(0), "probe")  # sets the shared folder where it is unset
     base = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/readtrim-fastq-{uuid4().hex}"
-    fastq.formatted(pairs, 1).coalesce(1).write.text(f"{base}/a")
-    fastq.formatted(pairs, 2).coalesce(1).write.option("compression", "gzip").text(f"{base}/b")
+    fastq.formatted(pairs, 1).write.text(f"{base}/a")
+    fastq.formatted(pairs, 2).write.option("compression", "gzip").text(f"{base}/b")
     back = fastq.read_pairs(spark, f"{base}/a", f"{base}/b")
     return back.select("idx", "id1", "seq1", "qual1", "id2", "seq2", "qual2")
 
@@ -450,7 +450,7 @@ _HEADERS = f"""{_P}, s AS (SELECT idx, concat('@PeReadSimulator2:', cast(idx AS
 
 
 def _simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"WITH {_HEADERS.replace('FROM orders', 'FROM {orders}')} SELECT idx, id, seq FROM s", orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return spark.sql(f"WITH {_HEADERS.replace('FROM orders', 'FROM {orders}')} SELECT idx, id, seq FROM s", orders=spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")))
 
 
 _DETAIL = f"""{_HEADERS}, d AS (SELECT idx, regexp_extract(id, '^[^ ]*') AS seq_id, 100 AS seq_length, insert_size, error_rate, cast(idx % 3 AS int) AS error_insert, 0 AS error_adapter,

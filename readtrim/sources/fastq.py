@@ -57,18 +57,22 @@ def codec(path: str, compress: str = "AUTO") -> str:
 
 
 def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, line, value): every line with its number in its file, from 0."""
+    """(file, line, value): every line with its number in its file, from 0.
+
+    A folder of parts, as Spark writes it, counts as one file: its parts follow each other by name.
+    """
     lines = spark.read.text(paths).select(
         "value",
-        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_path").alias("part"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
     )
     # one row per block: a few thousand for a terabyte
-    blocks = materialize(lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first")), "blocks")
-    before = F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
-    starts = blocks.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
-    return lines.join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
+    blocks = materialize(lines.groupBy("part", "block").agg(F.count("*").alias("n"), F.min("at").alias("first")), "blocks")
+    blocks = blocks.withColumn("file", F.regexp_replace("part", "/part-[^/]*$", ""))
+    before = F.sum("n").over(W.partitionBy("file").orderBy("part", "block").rowsBetween(W.unboundedPreceding, -1))
+    starts = blocks.select("part", "block", "file", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.join(starts, ["part", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
 
 
 def _field(k: int, when: Column | None = None) -> Column:

@@ -150,6 +150,18 @@ def test_fastq_round_trip(spark, tmp_path, ending):
     assert sorted(back.split("\n")) == sorted(text.split("\n"))
 
 
+def test_folders_of_parts_are_one_file(spark, tmp_path):
+    df = frame(spark, ["ACGT"[: k % 4 + 1] for k in range(500)], ["A"] * 500)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        fastq.write_fastq(df, str(tmp_path / "x.fastq"), 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "x.fastq").glob("part*"))) > 1
+    got = fastq.read_single(spark, str(tmp_path / "x.fastq")).orderBy("idx").collect()
+    assert [(r.sample, r.idx, r.id1) for r in got] == [("x", k, f"@r{k} 1") for k in range(500)]
+
+
 def test_pairs_of_several_samples_and_unequal_files(spark, tmp_path):
     def put(name, n, mate):
         (tmp_path / name).write_text("".join(f"@{name}.{k} {mate}\nACGT\n+\nIIII\n" for k in range(n)))

@@ -2,9 +2,9 @@
 
 All steps are DataFrame expressions. Documents collapse (map side first) to a table of cells, one per source, language
 and topic with its token weight; the raking touches cells only: in each round the weights are scaled to the targets
-of one dimension after the other. A cell's calibrated probability is its raked weight over its own; where that would
-pass 1 it stays 1 and the surplus goes to the other cells (FILL steps of water filling). A document is kept if
-a uniform number made from its id lies below its cell's probability.
+of one dimension after the other, no cell beyond its tokens. Targets that the documents can't meet are lowered to what is there
+beforehand, the rest of the dimension takes the surplus (FILL steps of water filling). A cell's calibrated probability is its
+raked weight over its own tokens. A document is kept if a uniform number made from its id lies below its cell's probability.
 
 Token weights are word counts (runs of anything but space and U+0009 to U+000D).
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize
 
 DIMS = ("source", "lang", "topic")
-ROUNDS, FILL, ALPHA, SHARE = 6, 4, 0.7, 0.6
+ROUNDS, FILL, ALPHA, SHARE = 8, 4, 0.7, 0.6
 SEED = "mix-1"
 
 
@@ -59,19 +59,43 @@ def _shares(by: DataFrame, dim: str, col: str) -> DataFrame:
     return by.select(dim, (F.col(col) / F.lit(float(whole))).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], total: Column | float, rounds: int = ROUNDS) -> DataFrame:
+def feasible(target: DataFrame, cells: DataFrame, dim: str, total: float, fill: int = FILL) -> DataFrame:
+    """(dim, share): targets that the documents can meet. A value gets its tokens at most, what is over goes to the others."""
+    there = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("n")).where("n > 0")
+    t = target.join(there, dim).select(dim, "n", F.least(F.col("share") * F.lit(total), F.col("n")).alias("goal"))
+    for _ in range(fill):
+        t = materialize(t, "goals")
+        free = F.col("goal") < F.col("n")
+        sums = t.agg(F.sum(F.when(free, F.col("goal"))).alias("free"), F.sum(F.when(~free, F.col("goal"))).alias("full")).first()
+        if not sums.free or sums.free + (sums.full or 0.0) >= total * (1 - 1e-9):
+            break
+        k = (total - (sums.full or 0.0)) / sums.free
+        t = t.select(dim, "n", F.when(free, F.least(F.col("goal") * F.lit(k), F.col("n"))).otherwise(F.col("goal")).alias("goal"))
+    return t.select(dim, (F.col("goal") / F.lit(total or 1.0)).alias("share"))
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], total: float, rounds: int = ROUNDS, bounded: bool = False) -> DataFrame:
     """Cells with ``w``: weights whose sums over each dimension meet its target shares of ``total``.
 
     ``targets``: dimension -> (value, share). Each step is one aggregation and one join on the dimension; the small
     side is as long as the dimension, and the planner alone decides whether it is short enough to broadcast.
+    ``bounded``: no cell weighs more than its tokens; one that is full stays so while the others of its value grow.
     """
     w = cells.withColumn("w", F.col("tokens").cast("double"))
     for _ in range(rounds):
         for dim, target in targets.items():
-            now = w.groupBy(dim).agg(F.sum("w").alias("have")).join(target, dim)
-            scale = now.select(dim, F.when(F.col("have") > 0, F.col("share") * total / F.col("have")).otherwise(0.0).alias("k"))
-            w = w.join(scale, dim, "left").select(*cells.columns, (F.col("w") * F.coalesce("k", F.lit(0.0))).alias("w"))
-            w = materialize(w, "raked")
+            full = F.col("w") >= F.col("tokens")
+            now = w.groupBy(dim).agg(F.sum("w").alias("have"), F.sum(F.when(full, F.col("w")).otherwise(0.0)).alias("full")).join(target, dim)
+            goal = F.col("share") * F.lit(float(total))
+            shrink = F.when(F.col("have") > 0, goal / F.col("have")).otherwise(0.0)
+            grow = F.when(F.col("have") > F.col("full"), (goal - F.col("full")) / (F.col("have") - F.col("full"))).otherwise(1.0)
+            scale = now.select(dim, shrink.alias("k"), grow.alias("g"))
+            k = F.coalesce("k", F.lit(0.0))
+            new = F.col("w") * k
+            if bounded:
+                new = F.when(k <= 1, new).when(full, F.col("w")).otherwise(F.least(F.col("w") * F.col("g"), F.col("tokens")))
+            w = w.join(scale, dim, "left").select(*cells.columns, new.alias("w"))
+        w = materialize(w, "raked")
     return w
 
 
@@ -110,12 +134,12 @@ def plan(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: fl
     cells = materialize(cells_of(docs), "cells")
     tokens = cells.agg(F.sum("tokens")).first()[0] or 0
     goals = targets or {d: materialize(tempered(cells, d), "target") for d in DIMS}
+    # a target that no cell has is left out, the others scaled up; then what no document can meet is moved to the others
     present = {}
     for d, t in goals.items():
-        # a target that no cell has is left out, the others scaled up
-        t = t.join(cells.groupBy(d).agg(F.sum("tokens").alias("n")).where("n > 0").select(d), d)
-        present[d] = materialize(_shares(t, d, "share"), "target")
-    return probabilities(rake(cells, present, share * tokens, rounds), share * tokens)
+        there = t.join(cells.groupBy(d).agg(F.sum("tokens").alias("n")).where("n > 0").select(d), d)
+        present[d] = materialize(feasible(_shares(there, d, "share"), cells, d, share * tokens), "target")
+    return probabilities(rake(cells, present, share * tokens, rounds, bounded=True), share * tokens)
 
 
 def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, extra: bool = False) -> DataFrame:

@@ -375,6 +375,21 @@ def test_raking_meets_given_marginals(spark):
     assert np.allclose(sorted(w.w), sorted(x.ravel()))
 
 
+def test_bounded_raking_meets_marginals_that_documents_can_meet(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plan = mixing.plan(docs).toPandas()
+    total = 0.6 * plan.tokens.sum()
+    assert plan.p.between(0, 1).all() and abs((plan.p * plan.tokens).sum() / total - 1) < 1e-3
+    for d in mixing.DIMS:
+        have = plan.groupby(d).tokens.sum()
+        goal = have**0.7 / (have**0.7).sum() * total
+        for _ in range(20):  # what a value can't give goes to the others
+            free = goal < have
+            goal = goal.where(~free, goal * (total - goal[~free].sum()) / goal[free].sum()).clip(upper=have)
+        got = (plan.p * plan.tokens).groupby(plan[d]).sum()
+        assert ((got - goal).abs() / total).max() < 0.01, d
+
+
 def test_target_values_without_documents_are_left_out(spark):
     docs = spark.createDataFrame([(k, "word " * 20, "en" if k % 2 else "fr", f"s{k % 3}", 100) for k in range(60)], brute.SCHEMA)
     targets = {"lang": spark.createDataFrame([("en", 0.6), ("xx", 0.4)], "lang string, share double")}

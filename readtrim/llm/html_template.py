@@ -2,7 +2,7 @@
 
 1. Every page is read into tokens: opening and closing tags with their path (names and classes), and text blocks with
    their path and the hash of their text.
-2. A token's occurrence vector over its host's pages is kept as a sum of hashes of (page, count), so it is built by
+2. Copies of a page count once. A token's occurrence vector over its host's pages is kept as a sum of hashes of (page, count), so it is built by
    partial sums, whatever the host's size. Tokens of a host that share vector, pages and total are an equivalence class.
 3. Classes with at least CLASS tokens on a SUPPORT share of the host's pages (three at least) are valid if they nest: ordered
    by mean position, a class lies in one gap of each larger one or the other way round. Valid classes make the template; it is
@@ -214,7 +214,18 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> s
 
 def _hosted(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.regexp_extract(F.lower(F.col("url").cast("string")), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
-    return pages.select("page_id", "url", host.alias("__host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("__html"))
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    return pages.select("page_id", "url", host.alias("__host"), html.alias("__html"), F.xxhash64(html).alias("__hash"))
+
+
+def distinct_pages(hosted: DataFrame, contents: DataFrame) -> DataFrame:
+    """One row of each host's copies of a page: else a page with many copies would look like its host's template.
+
+    ``contents``: (__host, __hash, n, rep), a narrow row per distinct page. Only those that have copies are joined.
+    """
+    copied = contents.where("n > 1").select("__host", "__hash", "rep")
+    joined = hosted.join(copied, ["__host", "__hash"], "left")
+    return joined.where(F.col("rep").isNull() | F.col("rep").eqNullSafe(F.col("page_id"))).drop("rep")
 
 
 def token_vectors(hosted: DataFrame) -> DataFrame:
@@ -297,8 +308,9 @@ def templates(vectors: DataFrame, hosts: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """Per row: page_id, url, ``text``, ``n_chars``, and how many template tokens the page's host has."""
     hosted = _hosted(pages)
-    hosts = materialize(hosted.groupBy(F.col("__host").alias("host")).agg(F.count("*").alias("n")), "hosts")
-    made = materialize(templates(token_vectors(hosted), hosts), "templates")
+    contents = materialize(hosted.groupBy("__host", "__hash").agg(F.count("*").alias("n"), F.min("page_id").alias("rep")), "contents")
+    hosts = contents.groupBy(F.col("__host").alias("host")).agg(F.count("*").alias("n"))
+    made = materialize(templates(token_vectors(distinct_pages(hosted, contents)), hosts), "templates")
     # Templates are dealt under SALTS keys, so a host with a third of all pages is not one task's.
     salted = made.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("host", "__host")
     salt = F.pmod(F.xxhash64("page_id", F.length("__html"), F.crc32(F.encode("__html", "UTF-8"))), F.lit(SALTS)).cast("int")

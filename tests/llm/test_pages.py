@@ -144,6 +144,9 @@ def test_template_of_a_host_is_left_out_without_article_markup(spark):
     got = {r.page_id: r for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
     assert got[3].text == "Story 3 begins\nand goes on 3 times" and got[3].template_tokens > 4
     assert got[100].text.startswith("Daily Paper") and got[100].template_tokens == 0  # one page is no template
+    copies = [(1000 + k, "http://p.example/copy", plain(99)) for k in range(30)]
+    got = {r.page_id: r for r in html_template.extract(spark.createDataFrame(rows + copies, "page_id long, url string, html string").repartition(3)).collect()}
+    assert {got[1000 + k].text for k in range(30)} == {"Story 99 begins\nand goes on 99 times"} and got[3].text == "Story 3 begins\nand goes on 3 times"
 
 
 def test_vectors_do_not_depend_on_partitions(spark):

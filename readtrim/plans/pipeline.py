@@ -119,7 +119,7 @@ class Pipeline:
     def _check_identifier(self, df: DataFrame) -> DataFrame:
         message = F.concat(F.lit("identifiers differ: "), F.col("id1"), F.lit(" and "), F.col("id2"))
         ok = F.col("drop_reason").isNotNull() | exprs.same_identifier(F.col("id1"), F.col("id2"))
-        return df.withColumn("seq1", F.when(ok, F.col("seq1")).otherwise(F.raise_error(message).cast("string")))
+        return df.withColumn("drop_reason", F.when(ok, F.col("drop_reason")).otherwise(F.raise_error(message).cast("string")))
 
     def _poly(self, base: str) -> Step:
         o, counter = self.options, f"poly{base}"

@@ -86,7 +86,7 @@ def _checked(df: DataFrame, mates: tuple[str, ...]) -> DataFrame:
         i, s, d, q = (F.col(f"{f}{m}") for f in FIELDS)
         ok = i.startswith("@") & d.startswith("+") & (F.length(s) == F.length(q))
         bad = F.raise_error(F.concat(F.lit("broken FASTQ record: "), F.coalesce(i, F.lit("?")))).cast("string")
-        df = df.withColumn(f"id{m}", F.when(F.coalesce(ok, F.lit(False)), i).otherwise(bad))
+        df = df.withColumn(f"seq{m}", F.when(F.coalesce(ok, F.lit(False)), s).otherwise(bad))
     return df
 
 
@@ -127,22 +127,26 @@ def _paired_lines(spark: SparkSession, paths1: list[str], paths2: list[str]) ->
         raise ValueError("files of mate 1 need different names")
     # file name -> (sample, mate): a literal map, one entry per input file
     pairs = [(p, n, m) for m, paths in ((1, paths1), (2, paths2)) for p, n in zip(paths, names, strict=True)]
-    tail = lambda p: p.split("://", 1)[-1].rstrip("/")
     lines = reduce(
         DataFrame.unionByName,
         [numbered_lines(spark, [p]).select(F.lit(n).alias("sample"), F.lit(m).alias("mate"), "line", "value") for p, n, m in pairs],
-    ) if len(pairs) <= 64 else _many(spark, pairs, tail)
+    ) if len(pairs) <= 64 else _many(spark, pairs)
     return lines.groupBy("sample", F.floor(F.col("line") / 4).alias("idx")).agg(
         *[_field(k, F.col("mate") == m).alias(f"{f}{m}") for m in (1, 2) for k, f in enumerate(FIELDS)]
     )
 
 
-def _many(spark: SparkSession, pairs: list[tuple[str, str, int]], tail) -> DataFrame:
+def _many(spark: SparkSession, pairs: list[tuple[str, str, int]]) -> DataFrame:
     """Many files in one scan: their samples and mates come from a table of the input files."""
-    table = spark.createDataFrame([(tail(p).lstrip("/"), n, m) for p, n, m in pairs], "path string, sample string, mate int")
-    lines = numbered_lines(spark, [p for p, _, _ in pairs])
-    key = F.regexp_replace(F.regexp_replace(F.col("file"), "^[a-z0-9]+:/*", ""), "^/+", "")
-    return lines.withColumn("path", key).join(table, "path").select("sample", "mate", "line", "value")
+
+    def whole(path: str) -> str:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri().toString()
+
+    bare = lambda c: F.regexp_replace(c, "^([a-z0-9+.-]+):/+", "$1:")  # noqa: E731  file:/x and file:///x are the same
+    table = spark.createDataFrame([(whole(p), n, m) for p, n, m in pairs], "path string, sample string, mate int")
+    lines = numbered_lines(spark, [p for p, _, _ in pairs]).withColumn("path", bare(F.col("file")))
+    return lines.join(table.withColumn("path", bare(F.col("path"))), "path").select("sample", "mate", "line", "value")
 
 
 def unpaired(spark: SparkSession, paths1: list[str] | str, paths2: list[str] | str) -> DataFrame:

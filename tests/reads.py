@@ -1,4 +1,4 @@
-"""A real pair of reads whose insert is 187 bases long, and helpers."""
+"""A real pair of reads whose insert is 187 bases long (fixed values), and helpers."""
 
 import numpy as np
 import pyarrow as pa

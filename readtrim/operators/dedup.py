@@ -1,12 +1,14 @@
 """PCR duplicates: reads or pairs whose sequences are equal; the one with the smallest index stays.
 
 Counting is a hash aggregate with map-side partial sums, so a sequence that a third of all reads share is one row per
-task when it is shuffled. Duplicates are told by a join on the index, which is unique.
+task when it is shuffled. Marking duplicates is a join on the index, which is unique. Dropping them is a row number of at
+most 1, which Spark also applies before the shuffle: again a task sends one read per distinct sequence.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -37,9 +39,9 @@ def mark(df: DataFrame, live: Column | None = None) -> DataFrame:
 
 
 def dedup(df: DataFrame) -> DataFrame:
-    """The first of each group of equal reads, all columns as they came."""
-    first = groups(df).select(*[c for c in ("sample",) if c in df.columns], F.col("first").alias("idx"))
-    return df.join(first, place(df), "left_semi").select(*df.columns)
+    """The first of each group of equal reads, all columns as they came. ``df`` is read once."""
+    rank = F.row_number().over(W.partitionBy(*keys(df)).orderBy("idx"))
+    return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
 def counts(df: DataFrame, id_col: str = "id1") -> DataFrame:

@@ -85,7 +85,7 @@ def _only(*order: str, **options) -> Pipeline:
 
 
 def _trimmed(spark: SparkSession, sf_dir: str, chain: Pipeline, *more: str) -> DataFrame:
-    return chain.apply(read_pairs(spark, sf_dir)).select(*_READS, *more)
+    return chain.apply(read_pairs(spark, sf_dir).select(*_READS)).select(*_READS, *more)
 
 
 # ---------------------------------------------------------------- clips and tails
@@ -357,7 +357,7 @@ c AS (SELECT *, CASE WHEN NOT (length(t1) BETWEEN 30 AND 999999 AND length(t2) B
 @_query(f"""{_CHAIN} SELECT coalesce(drop_reason, 'good') AS outcome, cast(length(t1) // 10 * 10 AS BIGINT) AS bucket, count(*) AS pairs FROM c GROUP BY 1, 2""")
 def trim_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality and tail trimming, then the length filter: pairs by outcome and length."""
-    out = _only("QualityTrim", "TailNTrim", "LengthFilter").apply(read_pairs(spark, sf_dir))
+    out = _only("QualityTrim", "TailNTrim", "LengthFilter").apply(read_pairs(spark, sf_dir).select(*_READS))
     bucket = (F.floor(F.length("seq1") / 10) * 10).cast("long")
     return out.groupBy(F.coalesce("drop_reason", F.lit("good")).alias("outcome"), bucket.alias("bucket")).agg(F.count("*").alias("pairs"))
 
@@ -368,7 +368,7 @@ def trim_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(*) FILTER (WHERE drop_reason IS NOT NULL) AS length_filtered_r1, count(*) FILTER (WHERE drop_reason IS NOT NULL) AS length_filtered_r2 FROM c""")
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = _only("QualityTrim", "TailNTrim", "LengthFilter")
-    report = chain.report(chain.apply(read_pairs(spark, sf_dir)))
+    report = chain.report(chain.apply(read_pairs(spark, sf_dir).select(*_READS)))
     return report.select("total", "good", *[f"{c}_r{m}" for c in ("quality_trim", "tail_N_trim", "length_filtered") for m in (1, 2)])
 
 

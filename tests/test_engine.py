@@ -112,6 +112,8 @@ def test_dedup_keeps_the_first_and_counts(spark):
     assert sorted(r.idx for r in dedup.dedup(df).collect()) == [0, 2, 3]
     assert sorted((r["count"], r.id) for r in dedup.counts(df).collect()) == [(2, "@r0 1"), (2, "@r2 1")]
     assert tuple(dedup.totals(df).first()) == (4, 2)
+    plan = dedup.dedup(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # duplicates go before the shuffle, too
     marked = dedup.mark(df, F.col("idx") != 0)
     assert sorted((r.idx, r.duplicate) for r in marked.collect()) == [(0, False), (1, False), (2, False), (3, False), (4, True)]
     assert dedup.dedup(df.where("false")).count() == 0 and tuple(dedup.totals(df.where("false")).first()) == (0, 0)

@@ -77,6 +77,8 @@ def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def _field(k: int, when: Column | None = None) -> Column:
     here = F.col("line") % 4 == k
+    if k == 0:  # blank lines behind the last record are none
+        here = here & (F.col("value") != "")
     return F.max(F.when(here if when is None else here & when, F.col("value")))
 
 
@@ -98,7 +100,7 @@ def read_single(spark: SparkSession, paths: list[str] | str, allow_empty: bool =
         raise ValueError("empty input")
     name = _sample_of(F.col("file"))
     rows = lines.groupBy(name.alias("sample"), F.floor(F.col("line") / 4).alias("idx")).agg(*[_field(k).alias(f"{f}1") for k, f in enumerate(FIELDS)])
-    return _checked(rows, ("1",))
+    return _checked(rows.where("id1 is not null or seq1 <> ''"), ("1",))
 
 
 def _sample_of(path: Column) -> Column:

@@ -182,6 +182,12 @@ def test_pairs_of_several_samples_and_unequal_files(spark, tmp_path):
         fastq.read_pairs(spark, a1, put("empty.fq", 0, 2))
     with pytest.raises(ValueError, match="empty input"):
         fastq.read_single(spark, put("none.fq", 0, 1))
+    (tmp_path / "blank.fq").write_text("@a\nACGT\n+\nIIII\n\n\n")
+    assert fastq.read_single(spark, str(tmp_path / "blank.fq")).count() == 1
+    assert fastq.read_pairs(spark, str(tmp_path / "blank.fq"), str(tmp_path / "blank.fq")).count() == 1
+    (tmp_path / "hole.fq").write_text("@a\nACGT\n+\nIIII\n\n@b\nACGT\n+\nIIII\n")
+    with pytest.raises(Exception, match="broken FASTQ"):
+        fastq.read_single(spark, str(tmp_path / "hole.fq")).collect()
     broken = tmp_path / "broken.fq"
     broken.write_text("@a\nACGT\n+\nIII\n")
     with pytest.raises(Exception, match="broken FASTQ"):

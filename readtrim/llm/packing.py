@@ -2,10 +2,10 @@
 
 The input of the program is the histogram of piece lengths: at most CAPACITY numbers, whatever the corpus. A
 configuration is a multiset of lengths that fits. Covering all pieces with the fewest configurations is solved by
-multiplicative weights: prices of lengths fall as they get covered, and a knapsack dynamic program over the capacity
-finds the configuration worth most at these prices. The averaged solution is rounded down; what remains is filled
-one configuration at a time by a bounded subset-sum program (largest piece first, then the fullest fit), each used as
-often as the counts allow. The result is a table of (length, ranks, sequence numbers), as small as the histogram.
+multiplicative weights: a length's weight falls exponentially as it gets covered, its price is its size (large ones a
+little dearer, so that small ones are left to fill gaps) raised by its weight, and a knapsack dynamic program over the
+capacity finds the configuration worth most. The solution is rounded down; what remains is packed by best-fit
+decreasing over its histogram. The result is a table of (length, ranks, sequence numbers), as small as the histogram.
 
 Distributed: documents are tokenised map side and written once as pieces. Where the tokenizer file allows it (checked on
 load) ids come from a leaner byte-pair encoder over the same merges; tests hold it against the library. A piece's rank among those of its length
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 CAPACITY, END, BUCKETS = 1024, 2, 256
-STEPS, RATE = 1200, 0.5
+#: Steps of the program; how fast a length's weight falls as it gets covered, how much its weight and its size add to its price.
+STEPS, RATE, NEED, LARGE = 1000, 4.0, 0.02, 0.1
 LONG = 1_000_000
 _WORKER: dict = {}
 
@@ -146,33 +148,40 @@ def _priced(value: np.ndarray, capacity: int) -> dict[int, int]:
     return out
 
 
-def _fill(count: np.ndarray, capacity: int) -> dict[int, int]:
-    """Largest piece left, then the fullest fit of the rest (bounded subset sum on the bits of an integer)."""
-    lengths = np.flatnonzero(count)[::-1].tolist()
-    big = lengths[0]
-    room, reach, steps = capacity - big, 1, []
-    mask = (1 << (room + 1)) - 1
-    for size in lengths:
-        n = min(int(count[size]) - (size == big), room // size)
-        k = 1
-        while n > 0:  # powers of two of the same length
-            m = min(k, n)
-            new = (reach | reach << (m * size)) & mask
-            steps.append((size, m, reach))
-            reach = new
+def _rest(count: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Best-fit decreasing over a histogram: equal bins move together, so the work depends on the lengths, not on the counts."""
+    bins: list[Counter] = [Counter() for _ in range(capacity + 1)]  # by room left: contents -> how many
+    free = np.zeros(capacity + 1, np.int64)
+
+    def put(room: int, content: tuple[int, ...], n: int) -> None:
+        bins[room][content] += n
+        free[room] += n
+
+    for size in range(capacity, 0, -1):
+        n = int(count[size])
+        while n:
+            fits = np.flatnonzero(free[size:])
+            if len(fits):
+                room = size + int(fits[0])
+                content, there = next(iter(bins[room].items()))
+                m = min(there, n)
+                bins[room][content] -= m
+                free[room] -= m
+                if m == there:
+                    del bins[room][content]
+                put(room - size, (*content, size), m)
+            elif full := n // (capacity // size):  # new bins, filled with this length alone
+                k = capacity // size
+                m = full * k
+                put(capacity - k * size, (size,) * k, full)
+            else:
+                m = n
+                put(capacity - n * size, (size,) * n, 1)
             n -= m
-            k *= 2
-        if reach >> room & 1:
-            break
-    at, out = reach.bit_length() - 1, {big: 1}
-    for size, m, before in reversed(steps):
-        if not before >> at & 1:
-            out[size] = out.get(size, 0) + m
-            at -= m * size
-    return out
+    return [(dict(Counter(content)), n) for by_content in bins for content, n in by_content.items()]
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS, rate: float = RATE) -> list[tuple[dict[int, int], int]]:
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[dict[int, int], int]]:
     """Configurations and how often each is used; together they hold every piece exactly once."""
     count = np.zeros(capacity + 1, np.int64)
     for size, n in histogram.items():
@@ -182,37 +191,29 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEP
         plan.append(({capacity: 1}, int(count[capacity])))
         count[capacity] = 0
     demand = count.astype(float)
-    present = demand > 0
-    if demand.sum() * capacity > 50 * capacity:  # else rounding leaves all to the filling anyway
+    if demand.sum() > 50:  # else rounding leaves all to the rest anyway
         covered, used = np.zeros(capacity + 1), {}
         sizes = np.arange(capacity + 1) / capacity
-        bound = max((sizes * demand).sum(), 1.0)  # no fewer sequences than this
-        step = bound / steps * 1.02
-        for _ in range(steps):
-            price = np.where(present, sizes * np.exp(-rate * np.minimum(covered / np.maximum(demand, 1), 4) * 8), 0.0)
-            price = np.where(covered >= demand, 0.0, price)
+        worth = sizes * (1 + LARGE * sizes)
+        step = max((sizes * demand).sum(), 1.0) / steps  # no fewer sequences than `steps` such steps
+        for _ in range(2 * steps):
+            weight = np.exp(-RATE * covered / np.maximum(demand, 1))
+            price = np.where(covered < demand - 1e-9, worth * (1 + NEED * weight), 0.0)
             if not price.any():
                 break
             config = _priced(price, capacity)
-            amount = min([step, *(max(demand[s] - covered[s], 0) / k for s, k in config.items())])
-            amount = max(amount, 1e-9)
+            amount = max(min([step, *((demand[s] - covered[s]) / k for s, k in config.items())]), 1e-9)
             key = tuple(sorted(config.items()))
             used[key] = used.get(key, 0.0) + amount
             for s, k in config.items():
                 covered[s] += k * amount
         for key, x in sorted(used.items(), key=lambda u: -u[1]):
-            n = min([int(x), *(int(count[s]) // k for s, k in key)])
+            n = min([int(x + 1e-6), *(int(count[s]) // k for s, k in key)])
             if n > 0:
                 plan.append((dict(key), n))
                 for s, k in key:
                     count[s] -= n * k
-    while count.any():
-        config = _fill(count, capacity)
-        n = min(int(count[s]) // k for s, k in config.items())
-        plan.append((config, n))
-        for s, k in config.items():
-            count[s] -= n * k
-    return plan
+    return plan + _rest(count, capacity)
 
 
 def _lookup(plan: list[tuple[dict[int, int], int]]) -> np.ndarray:

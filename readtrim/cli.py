@@ -19,8 +19,11 @@ from .sources import fastq
 _OFF = {"adapter_trim": "no-adapter-trim", "consensus": "no-consensus", "quality_trim": "no-quality-trim", "tail_n_trim": "no-tail-n-trim", "length_filtration": "no-length-filtration"}
 _SHORT = {
     "order": "-O", "adapter1": "-a", "adapter2": "-A", "kmer_tolerance": "-T", "pe_adapter_diff": "-d", "r1_r2_diff": "-D", "kmer_n_match": "-s",
-    "tail_length": "-l", "max_n": "-n",
+    "tail_length": "-l", "max_n": "-n", "clip3_r1": "-z", "clip3_r2": "-Z", "clip_after_r1": "-b", "clip_after_r2": "-B", "clip5_r1": "-e", "clip5_r2": "-E",
+    "quality_score": "-q",
 }
+#: Options of older versions: what to say about them.
+_GONE = {"clip_after": "--clip-after is gone: use --clip-after-r1 and --clip-after-r2", "clip5": "--clip5 is gone: use --clip5-r1 and --clip5-r2"}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -33,6 +36,12 @@ def parser() -> argparse.ArgumentParser:
     trim.add_argument("-g", "--compress", default="AUTO")
     trim.add_argument("-f", "--force", action="store_true")
     trim.add_argument("--detect-adapter", action="store_true")
+    trim.add_argument("-t", "--threads", type=int, help="cores of a local session (a cluster's master decides otherwise)")
+    trim.add_argument("--log2-chunk-size", type=int, default=26, help="bytes of an input split, as a power of two (20 to 30)")
+    trim.add_argument("--stats", action="store_true", help="accepted, without effect")
+    trim.add_argument("-p", "--procs", default="1", help=argparse.SUPPRESS)
+    trim.add_argument("-C", "--clip-after", type=int, default=0, help=argparse.SUPPRESS)
+    trim.add_argument("-c", "--clip5", type=int, default=0, help=argparse.SUPPRESS)
     trim.add_argument("--collisions", action="store_true", help="with PCR dedup: list short keys that different sequences share")
     for f in fields(TrimOptions):
         if f.name in _OFF:
@@ -47,13 +56,13 @@ def parser() -> argparse.ArgumentParser:
             trim.add_argument(*flags, dest=f.name, type=type(f.default), default=f.default)
     sim = sub.add_parser("simulate", help="read pairs with known truth")
     sim.add_argument("-o", "--prefix", required=True)
-    sim.add_argument("--insert-sizes", nargs="+", type=int, default=list(range(66, 121, 2)))
-    sim.add_argument("--repeat", type=int, default=30_000)
-    sim.add_argument("--seq-length", type=int, default=100)
-    sim.add_argument("--adapter1", default=simulate.ADAPTER1)
-    sim.add_argument("--adapter2", default=simulate.ADAPTER2)
-    for name, default in (("substitution", simulate.RATES), ("insertion", simulate.INDELS), ("deletion", simulate.INDELS)):
-        sim.add_argument(f"--{name}-rate", dest=name, nargs="+", type=float, default=list(default))
+    sim.add_argument("-i", "--insert-sizes", "--insert-size-range", nargs="+", type=int, default=list(range(66, 121, 2)))
+    sim.add_argument("-x", "--repeat", type=int, default=30_000)
+    sim.add_argument("-s", "--seq-length", type=int, default=100)
+    sim.add_argument("-a", "--adapter1", default=simulate.ADAPTER1)
+    sim.add_argument("-A", "--adapter2", default=simulate.ADAPTER2)
+    for name, flag, default in (("substitution", "-S", simulate.RATES), ("insertion", "-I", simulate.INDELS), ("deletion", "-D", simulate.INDELS)):
+        sim.add_argument(flag, f"--{name}-rate", dest=name, nargs="+", type=float, default=list(default))
     sim.add_argument("--seed", type=int, default=0)
     rnd = sub.add_parser("randtrim", help="cut one mate of each pair to a random length")
     rnd.add_argument("files", nargs="+", help="R1 R2 [R1 R2 ...]")
@@ -156,9 +165,20 @@ def _pairs_of(files: list[str]) -> list[tuple[str, str]]:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    spark = SparkSession.builder.appName("readtrim").getOrCreate()
+    builder = SparkSession.builder.appName("readtrim")
+    if getattr(args, "threads", None):
+        builder = builder.master(f"local[{args.threads}]")
+    spark = builder.getOrCreate()
     if args.program == "trim":
         try:
+            gone = [text for name, text in _GONE.items() if getattr(args, name)]
+            if gone:
+                raise ValueError("; ".join(gone))
+            if not 20 <= args.log2_chunk_size <= 30:
+                raise ValueError("--log2-chunk-size must be 20 to 30")
+            if args.procs != "1":
+                print("readtrim: --procs has no effect")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << args.log2_chunk_size))
             options = options_of(args)
             if args.read2 and len(args.read1) != len(args.read2):
                 raise ValueError("as many files of mate 2 as of mate 1 are needed")

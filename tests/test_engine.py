@@ -378,7 +378,8 @@ def test_command_line_end_to_end(spark, tmp_path, monkeypatch, capsys):
     assert cli.main(["trim", "-r", r1, "-o", out, "-f"]) == 0
     assert cli.main(["trim", "-r", r1, "-R", r2, "-o", out, "--detect-adapter"]) == 0
     assert cli.main(["trim", "-r", r1, "-o", out, "--detect-adapter"]) == 0
-    assert cli.main(["trim", "-r", r1, "-o", out, "-O", "Nope"]) == 3
+    for bad in (["-O", "Nope"], ["-C", "5"], ["--log2-chunk-size", "9"], ["-q", "20", "--kmer-tolerance", "99"]):
+        assert cli.main(["trim", "-r", r1, "-o", out, *bad]) == 3
     assert cli.main(["randtrim", r1, r2]) == 0
     assert cli.main(["readstat", base + ".R1.randtrim.fastq", base + ".R2.randtrim.fastq"]) == 0
     assert cli.main(["plot", base + ".R1.randtrim.fastq.r12.stat.tsv", "-o", str(tmp_path / "plots")]) == 0

@@ -48,15 +48,52 @@ def probability(q: Column) -> Column:
     return F.when(q < 0, F.raise_error(F.lit("quality below the offset: wrong quality format?")).cast("double")).otherwise(p)
 
 
+def complement(seq: Column) -> Column:
+    return F.translate(seq, _FROM, _TO)
+
+
+def is_complement(a: Column, b: Column) -> Column:
+    """Base by base, in the same direction."""
+    return complement(a) == b
+
+
+def n_to_gap(seq: Column) -> Column:
+    return F.translate(seq, "Nn", "--")
+
+
+def is_dna(seq: Column) -> Column:
+    """Bases, ambiguity codes and gaps only, at least one."""
+    return seq.rlike(f"^[{_FROM}-]+$")
+
+
+def bits(seq: Column) -> Column:
+    """Sets of bases as bits, four a base (A 1, C 2, G 4, T 8, unions for ambiguity codes), the first base last."""
+    sets = [0b0001, 0b0010, 0b0100, 0b1000, 0b1000, 0b1111, 0b0101, 0b1010, 0b0110, 0b1001, 0b1100, 0b0011, 0b1110, 0b1101, 0b1011, 0b0111]
+    table = F.create_map(*[F.lit(x) for c, v in zip(_FROM[:16], sets, strict=True) for x in (c, f"{v:04b}")])
+    letters = F.filter(F.split(F.upper(F.reverse(seq)), ""), lambda c: c != "")
+    return F.array_join(F.transform(letters, lambda c: F.coalesce(table[c], F.lit("0000"))), " ")
+
+
 def mean_probability(qual: Column, start: Column | int = 1, end: Column | None = None, offset: int = 33) -> Column:
     """Mean chance over positions start..end that lie in the read; 0 if none does."""
+    part = _part(qual, start, end)
+    return F.when(F.length(part) > 0, _sum(part, offset) / F.length(part)).otherwise(F.lit(0.0))
+
+
+def probability_sum(qual: Column, start: Column | int = 1, end: Column | None = None, offset: int = 33) -> Column:
+    """Sum of the chances over positions start..end that lie in the read."""
+    return _sum(_part(qual, start, end), offset)
+
+
+def _part(qual: Column, start: Column | int, end: Column | None) -> Column:
     lo = F.greatest(F.lit(start) if isinstance(start, int) else start, F.lit(1))
     hi = F.length(qual) if end is None else F.least(end, F.length(qual))
-    part = F.when(hi >= lo, F.substring(qual, lo, (hi - lo + 1).cast("int"))).otherwise("")
-    total = F.aggregate(
-        F.filter(F.split(part, ""), lambda c: c != ""), F.lit(0.0), lambda acc, c: acc + probability(F.ascii(c) - F.lit(offset))
-    )
-    return F.when(F.length(part) > 0, total / F.length(part)).otherwise(F.lit(0.0))
+    return F.when(hi >= lo, F.substring(qual, lo, (hi - lo + 1).cast("int"))).otherwise("")
+
+
+def _sum(part: Column, offset: int) -> Column:
+    letters = F.filter(F.split(part, ""), lambda c: c != "")
+    return F.aggregate(letters, F.lit(0.0), lambda acc, c: acc + probability(F.ascii(c) - F.lit(offset)))
 
 
 def same_identifier(id1: Column, id2: Column) -> Column:

@@ -33,6 +33,15 @@ def trim_stream(reads: DataFrame, options: TrimOptions | None = None, paired: bo
     return good.dropDuplicates(keys)
 
 
+def pair_streams(mate1: DataFrame, mate2: DataFrame) -> DataFrame:
+    """Mates that arrive on two streams, paired by (sample, idx); one waits for the other in state.
+
+    ``mate1``: sample, idx, id1, seq1, des1, qual1; ``mate2`` likewise. Give both a watermark to bound the wait.
+    """
+    keys = [c for c in ("sample", "idx") if c in mate1.columns]
+    return mate1.join(mate2, keys)
+
+
 def counters_stream(reads: DataFrame, options: TrimOptions | None = None, paired: bool = True) -> DataFrame:
     """Running totals of the report over a stream (output mode complete or update)."""
     chain = Pipeline(replace(options or TrimOptions(), pcr_dedup=False), paired)

@@ -351,6 +351,32 @@ def test_folder_stream_trims_new_files_once(spark, tmp_path):
     assert spark.read.parquet(out).count() == len(expected)
 
 
+def test_mates_on_two_streams_are_paired(spark, tmp_path):
+    from readtrim.streaming.trim import pair_streams
+
+    one = spark.createDataFrame([("s", k, f"@{k}", "ACGT", "+", "IIII") for k in range(6)], "sample string, idx long, id1 string, seq1 string, des1 string, qual1 string")
+    two = one.select("sample", "idx", *[F.col(f"{c}1").alias(f"{c}2") for c in ("id", "seq", "des", "qual")]).where("idx <> 2")
+    for m, df in ((1, one), (2, two)):
+        df.write.parquet(str(tmp_path / f"m{m}"))
+    streams = [spark.readStream.schema(df.schema).parquet(str(tmp_path / f"m{m}")) for m, df in ((1, one), (2, two))]
+    query = (
+        pair_streams(*streams).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log"))
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert sorted(r.idx for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 3, 4, 5]
+
+
+def test_small_expressions(spark):
+    row = spark.createDataFrame([("ACGTN", "TGCAN", "I+!", "ACG!")], "a string, b string, q string, x string").select(
+        exprs.is_complement(F.col("a"), F.col("b")).alias("c"), exprs.n_to_gap(F.col("a")).alias("g"), exprs.is_dna(F.col("a")).alias("d"), exprs.is_dna(F.col("x")).alias("e"),
+        exprs.bits(F.col("a")).alias("bits"), exprs.probability_sum(F.col("q")).alias("s"), exprs.mean_probability(F.col("q"), 3, F.lit(9)).alias("m"),
+        exprs.mean_probability(F.col("q"), 5).alias("n"),
+    ).first()
+    assert (row.c, row.g, row.d, row.e, row.bits) == (True, "ACGT-", True, False, "1111 1000 0100 0010 0001")
+    assert row.s == pytest.approx(1 - 1e-4 + 0.9 + 0) and row.m == 0 and row.n == 0
+
+
 def test_fastq_folder_hands_over_new_files(spark, tmp_path):
     src = tmp_path / "land"
     src.mkdir()

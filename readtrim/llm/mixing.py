@@ -142,9 +142,12 @@ def plan(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: fl
     return probabilities(rake(cells, present, share * tokens, rounds, bounded=True), share * tokens)
 
 
-def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, extra: bool = False) -> DataFrame:
-    """The documents drawn, all columns as they came; ``extra``: with ``topic`` and ``p`` (instead of columns of that name)."""
-    cells = plan(docs, targets, share).select(*[F.col(d).alias(f"__{d}") for d in DIMS], F.col("p").alias("__p"))
+def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, extra: bool = False, planned: DataFrame | None = None) -> DataFrame:
+    """The documents drawn, all columns as they came; ``extra``: with ``topic`` and ``p`` (instead of columns of that name).
+
+    ``planned``: what :func:`plan` gave, else it is made here.
+    """
+    cells = (plan(docs, targets, share) if planned is None else planned).select(*[F.col(d).alias(f"__{d}") for d in DIMS], F.col("p").alias("__p"))
     drawn = labelled(docs).join(cells, [f"__{d}" for d in DIMS]).where(uniform(F.col("doc_id")) < F.col("__p"))
     if not extra:
         return drawn.select(*docs.columns)

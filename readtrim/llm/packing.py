@@ -35,6 +35,8 @@ CAPACITY, END, BUCKETS = 1024, 2, 256
 #: Steps of the program; how fast a length's weight falls as it gets covered, how much its weight and its size add to its price.
 STEPS, RATE, NEED, LARGE = 1000, 4.0, 0.02, 0.1
 LONG = 1_000_000
+#: Fixed value: how byte-level pre-tokenizers cut a text.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORKER: dict = {}
 
 
@@ -66,9 +68,7 @@ def fast_encoder(tokenizer):
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     if len(ranks) != 256 + len(merges) or any(vocab.get(x + y) != 256 + k for k, (x, y) in enumerate(merges)):
         return None
-    import public_tokenizers
-
-    return tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+    return tiktoken.Encoding("same", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
 
 class Ids:

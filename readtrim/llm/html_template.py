@@ -215,16 +215,15 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> s
 def _hosted(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.regexp_extract(F.lower(F.col("url").cast("string")), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    return pages.select("page_id", "url", host.alias("__host"), html.alias("__html"), F.xxhash64(html).alias("__hash"))
+    return pages.select("page_id", "url", host.alias("__host"), html.alias("__html"), F.xxhash64(host, html).alias("__hash"))
 
 
-def distinct_pages(hosted: DataFrame, contents: DataFrame) -> DataFrame:
+def distinct_pages(hosted: DataFrame, copied: DataFrame) -> DataFrame:
     """One row of each host's copies of a page: else a page with many copies would look like its host's template.
 
-    ``contents``: (__host, __hash, n, rep), a narrow row per distinct page. Only those that have copies are joined.
+    ``copied``: (__hash, rep), two numbers for each page that has copies; nothing else is joined.
     """
-    copied = contents.where("n > 1").select("__host", "__hash", "rep")
-    joined = hosted.join(copied, ["__host", "__hash"], "left")
+    joined = hosted.join(copied, "__hash", "left")
     return joined.where(F.col("rep").isNull() | F.col("rep").eqNullSafe(F.col("page_id"))).drop("rep")
 
 
@@ -309,8 +308,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """Per row: page_id, url, ``text``, ``n_chars``, and how many template tokens the page's host has."""
     hosted = _hosted(pages)
     contents = materialize(hosted.groupBy("__host", "__hash").agg(F.count("*").alias("n"), F.min("page_id").alias("rep")), "contents")
-    hosts = contents.groupBy(F.col("__host").alias("host")).agg(F.count("*").alias("n"))
-    made = materialize(templates(token_vectors(distinct_pages(hosted, contents)), hosts), "templates")
+    # tables of their own: the planner sees how small they are
+    hosts = materialize(contents.groupBy(F.col("__host").alias("host")).agg(F.count("*").alias("n")), "hosts")
+    copied = materialize(contents.where("n > 1").select("__hash", "rep"), "copied")
+    made = materialize(templates(token_vectors(distinct_pages(hosted, copied)), hosts), "templates")
     # Templates are dealt under SALTS keys, so a host with a third of all pages is not one task's.
     salted = made.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("host", "__host")
     salt = F.pmod(F.xxhash64("page_id", F.length("__html"), F.crc32(F.encode("__html", "UTF-8"))), F.lit(SALTS)).cast("int")

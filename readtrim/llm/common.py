@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH = "8m"
 #: Characters that separate words everywhere in this package: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,6 +38,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to Arrow batches of at most BATCH bytes where the size was left at Spark's default.
+
+    Rows hold whole texts: with few bytes a batch, two tasks and their workers stay small whatever the texts' lengths.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, "64m") in ("67108864b", "67108864", "64m", "64MB"):
+        conf.set(name, BATCH)
+    return df
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row (a lambda variable, so Catalyst can't inline it)."""
     return F.element_at(F.transform(F.array(value), body), 1)

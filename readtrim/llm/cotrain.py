@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import materialize
+from .common import bounded_batches, materialize
 
 DIM, META, FORM = 4096, 256, 16
 SAMPLE, MOST, ROUNDS, CONFIDENT = 1500, 250, 2, 0.9
 _SYMBOLS = "#*$%&|<>"
-_LIMIT = 300_000
+_LIMIT = 100_000
 _WORDS: dict[str, tuple[int, int, int]] = {}
 _SHAPES: dict[str, int] = {}
 
@@ -173,7 +173,7 @@ def _views(docs: DataFrame, id_col: str) -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     columns = docs.select(F.col(id_col), *[F.col(c).cast("string").alias(f"__{c}") for c in ("text", "lang", "source")])
-    return columns.mapInArrow(make, f"`{id_col}` {kind}, slots array<smallint>, values array<float>, meta array<smallint>")
+    return bounded_batches(columns).mapInArrow(make, f"`{id_col}` {kind}, slots array<smallint>, values array<float>, meta array<smallint>")
 
 
 def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -217,7 +217,7 @@ def _scored(views: DataFrame, models, id_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), line(zt, at, ct), line(zm, am, cm)], names=[id_col, "z_text", "z_meta"])
 
     kind = views.schema[id_col].dataType.simpleString()
-    return views.mapInArrow(score, f"`{id_col}` {kind}, z_text double, z_meta double")
+    return bounded_batches(views).mapInArrow(score, f"`{id_col}` {kind}, z_text double, z_meta double")
 
 
 def _most(scored: DataFrame, view: str, id_col: str) -> list[tuple[int, int]]:

@@ -329,6 +329,15 @@ def adapter_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.groupBy("adapter").agg(F.count("*").alias("count"), F.round(F.avg("at"), 6).alias("mean_start"))
 
 
+@_query()
+def adapter_stats_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The aggregation behind detection over what follows the overlap in every pair; ``adapter_group_stats`` knows a seventh of the pairs only."""
+    pairs = read_pairs(spark, sf_dir)
+    n_reads = pairs.groupBy(F.lit("").alias("sample")).agg(F.count("*").alias("n_reads"))
+    found = detect.adapter_stats(detect.candidates_behind_overlap(pairs), n_reads)
+    return found.select("mate", "adapter", "count", *[F.round(c, 6).alias(c) for c in ("occurance", "identity", "adapter_start_position")])
+
+
 @_query()
 def adapter_trim_pe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trimmed(spark, sf_dir, Pipeline(TrimOptions(order=("AdapterTrim",), consensus=False)), "adapter_trim_r1")

@@ -180,6 +180,13 @@ def length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("idx", F.col("drop_reason").isNull().alias("good"))
 
 
+@_query(f"WITH {_P} SELECT idx, length(seq1) BETWEEN 50 AND 100 AND length(seq2) BETWEEN 50 AND 100 AS good FROM p")
+def length_filter_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair, also those whose mate 1 has exactly the upper bound, which ``length_filter`` leaves out."""
+    out = _only("LengthFilter", length_range="50:100").apply(read_pairs(spark, sf_dir))
+    return out.select("idx", F.col("drop_reason").isNull().alias("good"))
+
+
 @_query(f"WITH {_P} SELECT idx, length(seq1) - length(replace(seq1, 'N', '')) <= 5 AND length(seq2) - length(replace(seq2, 'N', '')) <= 5 AS good FROM p")
 def max_n_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _only("MaxNFilter", max_n=5).apply(read_pairs(spark, sf_dir)).select("idx", F.col("drop_reason").isNull().alias("good"))

@@ -49,3 +49,10 @@ def test_adapter_stats_count_every_pair(spark):
         n = len(found)
         assert got[k]["count"] == n and got[k].occurance == pytest.approx(n / len(rows), abs=1e-6)
         assert (got[k].identity, got[k].adapter_start_position) == pytest.approx([sum(x) / n for x in zip(*found, strict=True)], abs=2e-6)
+
+
+def test_length_filter_judges_every_pair(spark):
+    rows = read_pairs(spark, SF).collect()
+    got = {r.idx: r.good for r in QUERIES["length_filter_all_pairs"](spark, SF).collect()}
+    assert got == {r.idx: all(50 <= len(s) <= 100 for s in (r.seq1, r.seq2)) for r in rows}
+    assert any(len(r.seq1) == 100 and got[r.idx] for r in rows) and not all(got.values())

@@ -170,8 +170,8 @@ def bootstrap(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT,
     edges = materialize(
         mention(BASES, 1.0).union(mention(LOOSES, 0.0)).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges"
     )
-    # A pattern below the support can never be confident: it has no say.
-    able = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("seed").alias("s")).where((F.col("n") >= support) & (F.col("s") > 0))
+    # A pattern below the support has no say. One without seeds stays: instances that others find may make it confident.
+    able = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
     edges = materialize(edges.join(able.select("pattern", "n"), "pattern"), "graph")
     score = edges.select("pattern", "instance", "n", "seed", F.col("seed").alias("score"))
     for _ in range(rounds):

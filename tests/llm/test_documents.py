@@ -109,6 +109,17 @@ def test_bootstrap_scores_by_hand(spark):
     assert set(conf) >= {"email|L|write to", "email|M|to|about"} and all(0.8 <= c < 1 for c in conf.values())
 
 
+def test_found_instances_make_patterns_without_seeds_confident(spark):
+    """Seeds trust 'call me'; the numbers found there trust 'dial desk', where no seed ever stands; 'order code' stays out."""
+    texts = [f"{'well ' * (k % 3)}please call me +1 212 555 {1000 + k} now" for k in range(30)]
+    texts += [f"{'well ' * (k % 3)}please call me 212-555-{2000 + k} now" for k in range(10)]
+    texts += [f"then dial desk 212-555-{2000 + k} {'again ' * (k % 2)}" for k in range(10)]
+    texts += ["then dial desk 212-555-3000", *(f"see order code 313-555-{4000 + k}" for k in range(10))]
+    got = pii.find(spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], brute.SCHEMA).repartition(4)).collect()
+    assert {r.doc_id: r.spans for r in got}[50] == "phone:15:27"
+    assert sorted(r.doc_id for r in got if r.n_added) == list(range(30, 51))
+
+
 def test_redaction_keeps_columns_and_all_but_the_spans(docs, rows):
     out = pii.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()

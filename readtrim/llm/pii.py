@@ -3,7 +3,8 @@
 1. Seeds: the base expressions find e-mail, IP, card and phone spans (leftmost, non-overlapping per kind). The
    expressions below are the base ones made anchored and possessive, with the digit counts moved into them, so they find the same
    spans in linear time: a run of digits is matched from its first digit or not at all.
-2. Candidates: identifier-like tokens that no base span touches: loose shapes of the same four kinds.
+2. Candidates: identifier-like tokens that no base span touches: loose shapes of the same four kinds
+   (e-mails without a dot in the domain, IPv6, parts over 255, spaced or bracketed dots, failing cards, phones without +).
 3. Each mention (seed or candidate) has lexical patterns: its kind with the two words before it, and with the word
    before and the word after. The graph of patterns and instances (distinct strings) is scored in ROUNDS: a pattern's
    confidence is the mean score of its instances, held down while few instances support it; an instance's score is
@@ -36,12 +37,23 @@ BASE = {
 }
 #: Which characters a text must hold before the expression is tried.
 _NEEDS = {"email": "@", "ip": "", "card": "", "phone": "+"}
-#: Looser shapes of the same kinds.
+#: Dots as they are written to hide an address, spaces around them included; groups of an IPv6 address.
+_DOT, _GROUPS = r"\x20?(?:\.|\[\.\]|\(\.\)|\[dot\]|\(dot\))\x20?", "[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}"
+#: Looser shapes of the same kinds. An e-mail may end a sentence; an IP has four parts of up to three digits, or is IPv6.
 LOOSE = {
-    "email": rf"(?<![{_LOCAL}@])[{_LOCAL}]++@[A-Za-z0-9-]++(?![A-Za-z0-9.@-])",
+    "email": rf"(?<![{_LOCAL}@])[{_LOCAL}]++@[A-Za-z0-9-]++(?![A-Za-z0-9@-]|\.[A-Za-z0-9-])",
+    "ip": rf"(?<![0-9])(?<![0-9]\.)[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9]|\.[0-9])"
+    rf"|(?<![A-Za-z0-9_:])(?:(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}|{_GROUPS}::(?:{_GROUPS})?|::{_GROUPS})(?![A-Za-z0-9_:])",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"(?<![0-9+(-])(?:\([0-9]{2,4}\)[\x20-]?|[0-9]{2,4}[.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9-])",
 }
+#: What a text must match before the looser shape is tried.
+_LOOSE_NEEDS = {
+    "email": "@",
+    "ip": rf"[0-9]{_DOT}[0-9]{{1,3}}{_DOT}[0-9]|[0-9A-Fa-f]::|::[0-9A-Fa-f]|(?::[0-9A-Fa-f]{{1,4}}){{7}}",
+    "card": r"[0-9](?:[\x20-]?[0-9]){11}",
+    "phone": r"[0-9][\x20.-][0-9]{3}",
+}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 ROUNDS, SUPPORT, CONFIDENT = 3, 3, 0.8
 
@@ -123,7 +135,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     loose = []
     for kind, regex in LOOSE.items():
         test = (lambda x: ~_luhn(x)) if kind == "card" else (lambda x: F.lit(True))
-        need = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}" if kind == "card" else r"[0-9][\x20.-][0-9]{3}")
+        need = text.rlike(_LOOSE_NEEDS[kind])
         loose.append(F.when(need, _placed(text, KINDS.index(kind), regex, test, True)).otherwise(none))
     made = docs.select(
         *keep,

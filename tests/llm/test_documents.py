@@ -120,6 +120,20 @@ def test_found_instances_make_patterns_without_seeds_confident(spark):
     assert sorted(r.doc_id for r in got if r.n_added) == list(range(30, 51))
 
 
+UNSEEN = ["fe80::1", "2001:db8:0:1:1:1:1:1", "2001:db8::8a2e:370:7334", "::1", "300.1.2.3", "10 . 0 . 0 . 7", "10[.]0[.]0[.]8", "10.0(dot)0.9"]
+
+
+def test_trusted_contexts_discover_ips_and_mail_at_the_end_of_a_sentence(spark):
+    texts = [f"{'well ' * (k % 3)}please connect to 10.0.0.{k} now" for k in range(30)] + [f"{'well ' * (k % 3)}please write to u{k}@s{k}.example.org now" for k in range(30)]
+    texts += [f"please connect to {x}{end}" for x in UNSEEN for end in (" now", ". Then", ".")] + ["please write to admin@intranet. Then", "please write to admin@intranet."]
+    texts += ["at 12:30:45 see std::vector, version 300.1.2.3 and root@localhost.", "please connect to std::map 1:2:3 and 1.2.3 and ::"]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], brute.SCHEMA).repartition(4)).collect()}
+    for k, x in enumerate([x for x in UNSEEN for _ in range(3)], 60):
+        assert (got[k].spans, got[k].n_ip, got[k].n_added) == (f"ip:18:{18 + len(x)}", 0, 1), texts[k]
+    assert got[84].spans == got[85].spans == "email:16:30"
+    assert got[86].spans == got[87].spans == ""
+
+
 def test_redaction_keeps_columns_and_all_but_the_spans(docs, rows):
     out = pii.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()

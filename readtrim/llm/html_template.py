@@ -6,7 +6,8 @@
    partial sums, whatever the host's size. Tokens of a host that share vector, pages and total are an equivalence class.
 3. Classes with at least CLASS tokens on a SUPPORT share of the host's pages (three at least) are valid if they nest: ordered
    by mean position, a class lies in one gap of each larger one or the other way round. Valid classes make the template; it is
-   bounded: each token needs a fixed share of the pages, so there are at most (mean tokens of a page) / SUPPORT.
+   bounded: each token needs a fixed share of the pages, so there are at most (mean tokens of a page) / SUPPORT. Its text is
+   left out of pages only if it is on more than MOST of them: a smaller share may be near copies of one article.
 4. What a page has beside its template are its slots. An article (or main) element is the content slot as marked up;
    its text stays even if copies of the page made it look like a template. Without one, the remaining slots are the text:
    blocks that are not template text and not mostly links.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-SUPPORT, CLASS, PAGES, SALTS = 0.2, 3, 3, 16
+SUPPORT, MOST, CLASS, PAGES, SALTS = 0.2, 0.5, 3, 3, 16
 
 _MARKUP = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S
@@ -282,12 +283,12 @@ def templates(vectors: DataFrame, hosts: DataFrame) -> DataFrame:
     """(host, text_tokens, n_tokens, n_classes): each host's template."""
     frequent = vectors.join(hosts, "host").where((F.col("pages") >= PAGES) & (F.col("pages") >= F.col("n") * SUPPORT))
     classes = (
-        frequent.groupBy("host", "vector", "pages", "total")
+        frequent.groupBy("host", "n", "vector", "pages", "total")
         .agg(F.sort_array(F.collect_list(F.struct("position", "token", "is_text"))).alias("members"))
         .where(F.size("members") >= CLASS)
     )
     # one row per host; bounded, see step 3 above
-    by_host = classes.groupBy("host").agg(F.collect_list(F.struct("pages", "total", "members")).alias("classes"))
+    by_host = classes.groupBy("host").agg(F.collect_list(F.struct("n", "pages", "total", "members")).alias("classes"))
 
     def nest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -296,7 +297,8 @@ def templates(vectors: DataFrame, hosts: DataFrame) -> DataFrame:
                 found.sort(key=lambda c: (-c["pages"], c["total"], -len(c["members"]), c["members"][0]["token"]))
                 good = _nested([(k, [m["position"] for m in c["members"]]) for k, c in enumerate(found)])
                 members = [m for k in good for m in found[k]["members"]]
-                out.append({"host": host, "text_tokens": sorted(m["token"] for m in members if m["is_text"]), "n_tokens": len(members), "n_classes": len(good)})
+                texts = sorted(m["token"] for k in good if found[k]["pages"] > found[k]["n"] * MOST for m in found[k]["members"] if m["is_text"])
+                out.append({"host": host, "text_tokens": texts, "n_tokens": len(members), "n_classes": len(good)})
             yield pa.RecordBatch.from_pylist(
                 out, pa.schema({"host": pa.string(), "text_tokens": pa.list_(pa.int64()), "n_tokens": pa.int32(), "n_classes": pa.int32()})
             )

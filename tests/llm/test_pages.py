@@ -149,6 +149,19 @@ def test_template_of_a_host_is_left_out_without_article_markup(spark):
     assert {got[1000 + k].text for k in range(30)} == {"Story 99 begins\nand goes on 99 times"} and got[3].text == "Story 3 begins\nand goes on 3 times"
 
 
+def test_near_copies_on_a_minority_of_a_host_keep_what_they_share(spark):
+    """Three pages of fifteen share three paragraphs and differ by a byline; the host's own text still goes."""
+
+    def plain(k):
+        own = [f"By author {k}", *(f"Shared paragraph {p}" for p in range(3))] if k < 3 else [f"Story {k} begins", f"and goes on {k} times"]
+        story = "".join(f"<div>{x}</div>" for x in own)
+        return own, f'<html><body><div class="top"><div>Daily Paper</div><div>All the news</div></div><div class="c">{story}</div><div class="low"><div>Imprint</div></div></body></html>'
+
+    rows = [(k, f"http://p.example/{k}", plain(k)[1]) for k in range(15)]
+    got = html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r.page_id: r.text for r in got} == {k: "\n".join(plain(k)[0]) for k in range(15)}
+
+
 def test_vectors_do_not_depend_on_partitions(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     hosted = html_template._hosted(pages)

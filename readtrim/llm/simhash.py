@@ -2,13 +2,16 @@
 
 1. Fingerprints (map side, Arrow): words of the lower-cased text, 4-word shingles with repeats, XXH64 seed 42, majority
    bits. Written once to the shared folder; copies collapse to one row per fingerprint before anything is joined.
-2. The join's upper levels are keys: 64 bits are six blocks; with at most 4 differing bits two blocks at least agree,
-   so a pair meets under one of 15 block pairs (21 or 22 equal bits). A key that holds more than ``GROUP`` fingerprints
-   is dealt into pairs of sub-blocks, so no task ever takes an unbounded group and no pair is lost.
-3. Below a key, sorted fingerprints are an implicit binary trie. Node pairs are walked together level by level,
-   differing bits add up, and a pair of nodes goes as soon as they exceed the budget.
+2. The join's upper levels are keys: 64 bits are cut into m blocks; with at most 4 differing bits m - 4 of them at
+   least agree, so a pair meets under one of C(m, 4) keys. m (5 to 8) is the fewest that keeps the mean key below ``GROUP``
+   fingerprints; every m finds the same links. A key that holds more than ``GROUP`` is dealt into pairs of sub-blocks,
+   so no task ever takes an unbounded group and no pair is lost.
+3. Below a key, sorted fingerprints are a binary trie (a node is a range of rows that share a prefix). From the key's
+   root, pairs of nodes are walked together level by level, differing bits add up, and a pair goes as soon as they
+   exceed the budget. A node of one row is a leaf: its remaining bits are compared at once.
 4. Of the links in a group only a spanning forest leaves the task (the components stay the same), then components come
-   from alternating large-star and small-star steps, each materialised in the shared folder.
+   from alternating large-star and small-star steps, each materialised in the shared folder. Joins on a key that may be
+   hot (a star's centre, a label, a fingerprint with many copies) deal the key's rows into parts of ``HOT`` rows.
 
 Edge cases: a null or empty text has fingerprint zero and links like any other; repeated rows and ids are rows of
 their own; a null id never is a component's id unless all its ids are null; extra columns are ignored; empty in, empty out.
@@ -26,10 +29,26 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-BITS, BUDGET, GROUP, LEAF = 64, 4, 4096, 64
-#: Six blocks as (shift, width); any two of them make a key.
-BLOCKS = ((53, 11), (42, 11), (31, 11), (20, 11), (10, 10), (0, 10))
-PAIRS = tuple(combinations(range(6), 2))
+BITS, BUDGET, GROUP, HOT = 64, 4, 4096, 512
+#: Rows that the nearly exact filter of ``keep_first`` may broadcast: one long each.
+SLOTS = 1 << 20
+#: Node pairs that a task splits at once.
+FRONTIER = 500_000
+
+
+def blocks(m: int) -> tuple[tuple[int, int], ...]:
+    """``m`` blocks of the 64 bits as (shift, width), widths as equal as can be.
+
+    >>> blocks(5)
+    ((51, 13), (38, 13), (25, 13), (12, 13), (0, 12))
+    """
+    widths = [BITS // m + (k < BITS % m) for k in range(m)]
+    return tuple((sum(widths[k + 1 :]), w) for k, w in enumerate(widths))
+
+
+def block_count(n: int) -> int:
+    """The fewest blocks for ``n`` fingerprints: those that agree hold log2(n / GROUP) bits at least."""
+    return next((m for m in range(BUDGET + 1, 8) if n <= GROUP << (m - BUDGET) * (BITS // m)), 8)
 
 
 def hashes(text: bytes, width: int = 4) -> list[int]:
@@ -91,90 +110,107 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def near_pairs(fp: np.ndarray, group: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i < j) within a group that differ in at most ``budget`` bits.
+def walk(fp: np.ndarray, group: np.ndarray, budget: int = BUDGET, visited: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) within a group that differ in at most ``budget`` bits, in slabs of bounded size.
 
-    ``fp`` (uint64) is sorted within runs of equal ``group``. A node is a range of rows that share a prefix; pairs of
-    nodes are split on the next bit together, their differing bits add up, and pairs over the budget are pruned.
-    Pairs with at most LEAF candidates are compared outright.
+    ``fp`` (uint64) is sorted within runs of equal ``group``. Every group is walked from its trie's root: a node is a
+    range of rows with a common prefix; pairs of nodes are split on the next bit together, their differing bits add
+    up, and pairs over the budget are pruned. Pairs of leaves (one row each) are compared on what bits remain.
+    ``visited`` takes the numbers of node pairs seen. At most FRONTIER node pairs are split at once, the deepest first.
     """
     edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
     lo, hi = edges[:-1], edges[1:]
-    big = hi - lo > 1
-    a0, a1 = lo[big], hi[big]
-    b0, b1, err = a0.copy(), a1.copy(), np.zeros(len(a0), np.int64)
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-    bit = BITS
-
-    def compare(a0, a1, b0, b1) -> None:
-        """All candidates of small node pairs, in slabs of bounded size."""
-        n = (a1 - a0) * (b1 - b0)
-        for at in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // 2_000_000)) + 1) if len(n) else ():
-            m = n[at]
-            row = np.repeat(at, m)
-            k = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            w = (b1 - b0)[row]
-            i, j = a0[row] + k // w, b0[row] + k % w
-            ok = i < j
-            i, j = i[ok], j[ok]
-            near = np.bitwise_count(fp[i] ^ fp[j]) <= budget
-            left.append(i[near])
-            right.append(j[near])
-
-    while len(a0):
-        small = ((a1 - a0) * (b1 - b0) <= LEAF) | (bit == 0)
-        compare(a0[small], a1[small], b0[small], b1[small])
-        a0, a1, b0, b1, err = (x[~small] for x in (a0, a1, b0, b1, err))
-        bit -= 1
-        if not len(a0):
-            break
-        # the first row of each node with this bit set: ones before each row, by a running sum
-        ones = np.concatenate([[0], np.cumsum((fp >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)])
-        am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
-        same = (a0 == b0) & (a1 == b1)
-        parts = [
-            (a0, am, b0, bm, err, np.ones(len(a0), bool)),
-            (am, a1, bm, b1, err, np.ones(len(a0), bool)),
-            (a0, am, bm, b1, err + 1, np.ones(len(a0), bool)),
-            (am, a1, b0, bm, err + 1, ~same),
-        ]
-        kept = [[x[ok & (p < q) & (r < s) & (e <= budget)] for x in (p, q, r, s, e)] for p, q, r, s, e, ok in parts]
-        a0, a1, b0, b1, err = (np.concatenate(x) for x in zip(*kept, strict=True))
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = np.concatenate(left), np.concatenate(right)
-    return i, j
+    lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
+    todo = [(BITS - 1, (lo, hi, lo, hi, np.zeros(len(lo), np.int8)))]
+    while todo:
+        bit, nodes = todo.pop()
+        n = len(nodes[0])
+        if not n:
+            continue
+        if n > FRONTIER:
+            todo += [(bit, tuple(x[: n // 2] for x in nodes)), (bit, tuple(x[n // 2 :] for x in nodes))]
+            continue
+        if visited is not None:
+            visited.append(n)
+        a0, a1, b0, b1, err = nodes
+        if bit < 0:  # rows of one node and equal in all bits
+            for p, q, r, t in zip(*(x.tolist() for x in nodes[:4]), strict=True):
+                for k in range(p, q):
+                    j = np.arange(max(r, k + 1), t)
+                    yield np.full(len(j), k), j
+            continue
+        leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
+        i, j = a0[leaf], b0[leaf]
+        near = (i < j) & (np.bitwise_count(fp[i] ^ fp[j]) <= budget)
+        if near.any():
+            yield i[near], j[near]
+        a0, a1, b0, b1, err = (x[~leaf] for x in nodes)
+        am, bm = (_first_one(fp, p, q, bit) for p, q in ((a0, a1), (b0, b1)))
+        kept = []
+        other = a0 != b0
+        for p, q, r, t, e, ok in ((a0, am, b0, bm, err, True), (am, a1, bm, b1, err, True), (a0, am, bm, b1, err + 1, True), (am, a1, b0, bm, err + 1, other)):
+            live = (p < q) & (r < t) & (e <= budget) & ok
+            kept.append([x[live] for x in (p, q, r, t, e)])
+        todo.append((bit - 1, tuple(np.concatenate(x) for x in zip(*kept, strict=True))))
+
+
+def _first_one(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
+    """The first row of each sorted range (common prefix above ``bit``) that has the bit, by bisection."""
+    lo, hi, one = lo.copy(), hi.copy(), np.uint64(1 << bit)
+    while True:
+        open_ = np.flatnonzero(lo < hi)
+        if not len(open_):
+            return lo
+        mid = (lo[open_] + hi[open_]) // 2
+        has = fp[mid] & one != 0
+        hi[open_[has]] = mid[has]
+        lo[open_[~has]] = mid[~has] + 1
+
+
+def near_pairs(fp: np.ndarray, group: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of :func:`walk`."""
+    found = list(walk(fp, group, budget)) or [(np.zeros(0, np.int64),) * 2]
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
-def _forest(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which of the links a spanning forest needs."""
-    parent: dict[int, int] = {}
+def spanning(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs of ``n`` nodes that a spanning forest needs. Pairs come and go slab by slab."""
+    root = np.arange(n)
+    out: list[tuple[int, int]] = []
 
-    def root(x: int) -> int:
-        while (p := parent.get(x, x)) != x:
-            parent[x] = parent.get(p, p)
-            x = p
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = int(root[x])
         return x
 
-    keep = np.zeros(len(i), bool)
-    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[b] = a
-            keep[k] = True
-    return keep
+    for i, j in pairs:
+        new = root[i] != root[j]  # most pairs of a large group are told here
+        for a, b in zip(i[new].tolist(), j[new].tolist(), strict=True):
+            x, y = top(a), top(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((a, b))
+        while True:  # every node points to its root again
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root = up
+    i, j = np.array(out, np.int64).reshape(-1, 2).T
+    return i, j
 
 
-def _key(fp: Column, pair: tuple[int, int]) -> Column:
-    (s, w), (t, v) = (BLOCKS[k] for k in pair)
-    cut = lambda shift, width: F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
-    return F.shiftleft(cut(s, w), v).bitwiseOR(cut(t, v)).bitwiseOR(F.lit(PAIRS.index(pair) << 32))
+def _key(fp: Column, chosen: tuple[tuple[int, int], ...], number: int) -> Column:
+    """One number of a choice of blocks and the bits in them (a hash: other bits may share it, which costs no link)."""
+    bits = [F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1)) for shift, width in chosen]
+    return F.xxhash64(F.lit(number), *bits)
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, m: int | None = None) -> DataFrame:
     """Links (a < b, longs) between distinct fingerprints, enough of them to span every component."""
-    keyed = distinct.select("fp", F.explode(F.array(*[_key(F.col("fp"), p) for p in PAIRS])).alias("key"))
+    m = block_count(distinct.count()) if m is None else m
+    choices = tuple(combinations(blocks(m), m - BUDGET))
+    keyed = distinct.select("fp", F.explode(F.array(*[_key(F.col("fp"), c, k) for k, c in enumerate(choices)])).alias("key"))
     sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
     # A key's rows are dealt into `parts` sub-blocks; each pair of sub-blocks is one group of bounded size.
     sizes = sizes.withColumn("parts", F.ceil(F.col("n") / GROUP).cast("int"))
@@ -200,9 +236,8 @@ def links(distinct: DataFrame) -> DataFrame:
             group = np.cumsum(new)
             order = np.lexsort((fp, group))
             fp = fp[order]
-            i, j = near_pairs(fp, group[order])
-            keep = _forest(i, j)  # rows of different groups are different nodes
-            a, b = fp.view(np.int64)[i[keep]], fp.view(np.int64)[j[keep]]
+            i, j = spanning(len(fp), walk(fp, group[order]))  # rows of different groups are different nodes
+            a, b = fp.view(np.int64)[i], fp.view(np.int64)[j]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
         # Rows come sorted by group; a group may go on in the next batch and is bounded by 2 * GROUP or so.
@@ -231,19 +266,36 @@ def links(distinct: DataFrame) -> DataFrame:
     )
 
 
+def dealt_join(big: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small`` (one row per ``key``; ``n``: how many rows of ``big`` have it).
+
+    Keys with more than HOT rows are dealt: ``small``'s row is repeated for each part, a row of ``big`` goes to the
+    part that the hash of ``spread`` names. The table of such keys holds at most 1 / HOT of ``big``'s rows; the planner sees its size.
+    """
+    hot = materialize(small.where(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("__parts")), "hot")
+    small = small.drop("n")
+    if hot.isEmpty():
+        return big.join(small, key, how)
+    part = F.pmod(F.xxhash64(F.col(spread), F.lit(11)), F.coalesce("__parts", F.lit(1))).cast("int").alias("__part")
+    mine = big.join(hot, key, "left").select(*big.columns, part)
+    parts = F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)
+    theirs = small.join(hot, key, "left").select(*small.columns, F.explode(parts).alias("__part"))
+    return mine.join(theirs, [key, "__part"], how).drop("__part")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label) of every node in a link: label is the component's smallest node. Large-star, then small-star."""
     edges = materialize(edges.select("a", "b"), "edges")
     before = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "low")
+        large = dealt_join(both.where("b > a"), low, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # a > b now. Small-star: every node's smaller neighbours and itself go to the smallest of them.
         large = materialize(large, "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
         small = (
-            large.join(least, "a")
+            dealt_join(large, least, "a", "b")
             .select(F.col("b").alias("x"), "m").where("x <> m")
             .union(least.select(F.col("a").alias("x"), "m"))
             .select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
@@ -255,24 +307,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = after
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("label"))
+    # the smallest node of a component is its own label
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
 
 def _classes(prints: DataFrame, order: Column) -> DataFrame:
-    """(fp, least): the smallest ``order`` of each fingerprint's component."""
-    distinct = materialize(prints.groupBy("fp").agg(F.min(order).alias("least")), "distinct")
-    nodes = components(links(distinct.select("fp")))
-    label = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    label = materialize(label, "labels")
-    smallest = label.groupBy("label").agg(F.min("least").alias("least"))
-    return materialize(label.select("fp", "label").join(smallest, "label").select("fp", "least"), "classes")
+    """(fp, least, n): the smallest ``order`` of each fingerprint's component, and how many rows the fingerprint has."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min(order).alias("least"), F.count("*").alias("n")), "distinct")
+    nodes = components(links(distinct.select("fp"))).select(F.col("node").alias("fp"), "label")
+    # only linked fingerprints have a component to look up; all others are their own
+    linked = materialize(nodes.join(distinct.select("fp", "least"), "fp"), "linked")
+    smallest = materialize(linked.groupBy("label").agg(F.min("least").alias("first"), F.count("*").alias("n")), "smallest")
+    found = dealt_join(linked.select("fp", "label"), smallest, "label", "fp").select("fp", "first")
+    return materialize(distinct.join(found, "fp", "left").select("fp", F.coalesce("first", "least").alias("least"), "n"), "classes")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, fp (signed long), ``component_id`` (smallest id of the component)."""
-    prints = materialize(fingerprints(docs, id_col, text_col), "fp")
-    classes = _classes(prints, F.col(id_col)).withColumnRenamed("least", "component_id")
-    return prints.join(classes, "fp").select(id_col, "fp", "component_id")
+    # the id goes by a name of its own, whatever it is called outside
+    prints = materialize(fingerprints(docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__doc")), "__id", "__doc"), "fp")
+    classes = _classes(prints, F.col("__id")).withColumnRenamed("least", "component_id")
+    return dealt_join(prints, classes, "fp", "__id").select(F.col("__id").alias(id_col), "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -284,20 +339,27 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     The one with the smallest ``doc_id`` (nulls last), of rows that share it the one with the smallest MD5 of its
     text; of rows alike in both any one.
+
+    Only narrow rows are joined to tell who goes. Texts are not shuffled for it: a table of SLOTS hash slots at most, the
+    slots of documents that go or are repeated, is broadcast, and documents outside them stay where they are. Those inside are
+    looked at exactly, once per key.
     """
-    mark = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    made = fingerprints(docs.select(F.struct(F.isnull("doc_id").alias("nul"), F.col("doc_id").alias("id"), mark.alias("mark")).alias("key"), "text"), "key")
-    prints = materialize(made, "fp")
-    reps = materialize(_classes(prints, F.col("key")).select(F.col("least").alias("__least")).distinct(), "kept")
-    on = lambda a: F.struct(F.isnull("doc_id").alias("nul"), F.col("doc_id").alias("id"), mark.alias("mark")).eqNullSafe(a)
-    kept = docs.join(reps, on(F.col("__least")), "left_semi")
-    repeated = materialize(
-        prints.join(reps, F.col("key").eqNullSafe(F.col("__least"))).groupBy("__least").agg(F.count("*").alias("n")).where("n > 1"), "again"
-    )
-    if repeated.isEmpty():
-        return kept
-    again = repeated.select("__least")
-    rest = docs.join(reps.join(again, "__least", "left_anti"), on(F.col("__least")), "left_semi")
-    return rest.unionByName(
-        docs.join(again, on(F.col("__least"))).dropDuplicates(["__least"]).drop("__least")
-    )
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    name = F.struct(F.isnull("doc_id").alias("nul"), F.col("doc_id").alias("id"), F.md5(text).alias("mark"))
+    prints = materialize(fingerprints(docs.select(name.alias("__key"), "text"), "__key", "text"), "fp")
+    decided = dealt_join(prints, _classes(prints, F.col("__key")), "fp", "__key").groupBy("__key").agg(F.min("least").alias("__least"), F.count("*").alias("n"))
+    slot = lambda key: F.pmod(F.xxhash64(key["nul"], key["id"], key["mark"]), F.lit(SLOTS))
+    touched = materialize(
+        decided.where(~F.col("__key").eqNullSafe(F.col("__least")) | (F.col("n") > 1))
+        .select(F.col("__key"), F.col("__key").eqNullSafe(F.col("__least")).alias("stays")),
+        "touched",
+    )
+    slots = materialize(touched.select(slot(F.col("__key")).alias("__slot")).distinct(), "slots")
+    # rows by position: columns of the input may have any name
+    rows = docs.select(F.struct("*").alias("__row"), name.alias("__key"))
+    rows = rows.withColumn("__slot", slot(F.col("__key")))
+    clear = rows.join(F.broadcast(slots), "__slot", "left_anti").select("__row.*")
+    doubtful = rows.join(F.broadcast(slots), "__slot", "left_semi").select("__row", "__key").dropDuplicates(["__key"])
+    gone = touched.where(~F.col("stays")).select(F.col("__key").alias("__gone"))
+    same = F.col("__key.mark").eqNullSafe(F.col("__gone.mark")) & F.col("__key.nul").eqNullSafe(F.col("__gone.nul")) & F.col("__key.id").eqNullSafe(F.col("__gone.id"))
+    return clear.unionAll(doubtful.join(gone, same, "left_anti").select("__row.*"))

@@ -285,6 +285,45 @@ def test_trie_join_against_all_pairs():
         i, j = simhash.near_pairs(fp, group, budget)
         want = {(a, b) for a in range(600) for b in range(a + 1, 600) if group[a] == group[b] and int(fp[a] ^ fp[b]).bit_count() <= budget}
         assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == want
+        assert len(i) == len(want)
+
+
+def test_the_trie_is_walked_and_prunes():
+    """Even a group of three is walked; of many far rows hardly any pair of leaves is reached; slabs change nothing."""
+    rng = np.random.default_rng(2)
+    three, seen = np.sort(np.array([1 << 60, (1 << 60) + 1, (1 << 16) - 1], np.uint64)), []
+    assert [(i, j) for x, y in simhash.walk(three, np.zeros(3), visited=seen) for i, j in zip(x.tolist(), y.tolist(), strict=True)] == [(1, 2)] and len(seen) > 3
+    fp = np.sort(rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2))
+    fp[::10] = fp[1::10] ^ np.uint64(1)
+    fp, seen = np.sort(fp), []
+    pairs = list(simhash.walk(fp, np.zeros(len(fp)), visited=seen))
+    assert sum(len(i) for i, _ in pairs) >= 400
+    # budget 4 of about 12 levels down to single rows: the share of node pairs left is that of 4 errors in 12 bits
+    assert max(seen) < 0.5 * len(fp) * len(fp) / 2
+
+
+def test_slabs_and_forests_lose_no_link(monkeypatch):
+    rng = np.random.default_rng(3)
+    fp = np.sort(np.uint64(1 << 40) ^ (np.uint64(1) << rng.integers(0, 12, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 12, 300).astype(np.uint64)))
+    whole = set(zip(*(x.tolist() for x in simhash.near_pairs(fp, np.zeros(300))), strict=True))
+    monkeypatch.setattr(simhash, "FRONTIER", 50)
+    assert set(zip(*(x.tolist() for x in simhash.near_pairs(fp, np.zeros(300))), strict=True)) == whole
+    i, j = simhash.spanning(300, simhash.walk(fp, np.zeros(300)))
+    assert len(i) == 299  # all within four bits of each other: one component, a tree
+
+
+@pytest.mark.parametrize("m", [5, 7])
+def test_any_number_of_blocks_finds_the_same_components(spark, m):
+    assert sum(w for _, w in simhash.blocks(m)) == 64 and simhash.block_count(10**7) == 5 and simhash.block_count(10**9) == 6 and simhash.block_count(10**14) == 8
+    rng = np.random.default_rng(4)
+    base = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 60)]
+    near = [x ^ sum(1 << int(b) for b in rng.choice(63, int(rng.integers(1, 7)), replace=False)) for x in base for _ in range(3)]
+    nodes = sorted(set(base + near))
+    found = simhash.links(spark.createDataFrame([(x,) for x in nodes], "fp long").repartition(3), m)
+    comp = {r.node: r.label for r in simhash.components(found).collect()}
+    unsigned = [x & (1 << 64) - 1 for x in nodes]
+    expected = brute.components(nodes, unsigned)
+    assert [comp.get(n, n) for n in nodes] == expected
 
 
 def test_links_span_large_groups_too(spark, monkeypatch):
@@ -317,6 +356,26 @@ def test_one_document_of_each_group_stays(docs, rows):
     assert sorted(map(key, kept)) == sorted({key(c) for c in expected})
 
 
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    """A component and a fingerprint beyond HOT rows: the joins deal them and give the same rows."""
+    monkeypatch.setattr(simhash, "HOT", 8)
+    words = brute.PROSE.split()
+    texts = [" ".join(words[:40] + [f"w{k % 9}"]) for k in range(60)] + ["" for _ in range(30)] + [f"alone {k} " * 9 for k in range(5)]
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], brute.SCHEMA).repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.dedup(df).collect()}
+    expected = dict(enumerate(brute.components(list(range(len(texts))), [brute.fingerprint(t) for t in texts])))
+    assert got == expected
+    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == sorted(set(expected.values()))
+
+
+def test_texts_stay_where_they_are(spark):
+    """Documents without near-duplicates are not shuffled: only those in the slots of removed ones are."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.withColumnRenamed("n_chars", "a.b").withColumn("__slot", F.lit(1)).withColumn("__key", F.lit("k"))
+    out = simhash.keep_first(odd)
+    assert out.columns == odd.columns and out.count() == simhash.keep_first(docs).count()
+
+
 # ---------------------------------------------------------------- quality rules
 
 

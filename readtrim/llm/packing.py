@@ -4,13 +4,16 @@ The input of the program is the histogram of piece lengths: at most CAPACITY num
 configuration is a multiset of lengths that fits. Covering all pieces with the fewest configurations is solved by
 multiplicative weights: a length's weight falls exponentially as it gets covered, its price is its size (large ones a
 little dearer, so that small ones are left to fill gaps) raised by its weight, and a knapsack dynamic program over the
-capacity finds the configuration worth most. The solution is rounded down; what remains is packed by best-fit
-decreasing over its histogram. The result is a table of (length, ranks, sequence numbers), as small as the histogram.
+capacity finds the configuration worth most. Prices over that worth are a solution of the dual program, so every
+step also bounds the optimum from below; the best bound is returned with the plan. The solution is rounded down; what
+remains is packed by best-fit decreasing over its histogram, and if that alone, over all pieces, needs fewer sequences it
+is the plan. The plan is a table of (length, ranks, sequence numbers), as small as the histogram.
 
 Distributed: documents are tokenised map side and written once as pieces. Where the tokenizer file allows it (checked on
 load) ids come from a leaner byte-pair encoder over the same merges; tests hold it against the library. A piece's rank among those of its length
-comes from its bucket (a hash), so neither a frequent length nor a hot group lies in one task: counts per bucket and
-length give each bucket's first rank, a window numbers the rows inside. The plan is then looked up map side.
+comes from its bucket (a hash; one for each PER_BUCKET pieces, BUCKETS at least), so neither a frequent length nor a hot group lies in
+one task: counts per bucket and length give each bucket's first rank, a window numbers the rows inside. Only the
+histogram goes to the driver; first ranks are joined on the key that the window has dealt the rows by. The plan is looked up map side.
 
 Edge cases: a null text counts as empty (one piece: the end token); repeated rows and ids are packed as rows of their
 own; longer documents are cut into whole CAPACITY pieces after a first, shorter one; empty in, empty out; extra columns are ignored.
@@ -22,6 +25,7 @@ import json
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +35,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-CAPACITY, END, BUCKETS = 1024, 2, 256
-#: Steps of the program; how fast a length's weight falls as it gets covered, how much its weight and its size add to its price.
-STEPS, RATE, NEED, LARGE = 1000, 4.0, 0.02, 0.1
+CAPACITY, END, BUCKETS, PER_BUCKET = 1024, 2, 256, 1 << 20
+#: Steps of the program; how fast a length's weight falls as it gets covered, how much its size adds to its price.
+STEPS, RATE, LARGE = 1000, 4.0, 0.1
+#: How much a length's weight adds to its price. The program is solved for each; the best plan and the best bound count.
+NEEDS = (0.05, 0.5)
 LONG = 1_000_000
 #: Fixed value: how byte-level pre-tokenizers cut a text.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -127,8 +133,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end:
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).mapInArrow(cut, schema)
 
 
-def _priced(value: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack: the multiset of lengths (value[l] each, 0 where absent) worth most within the capacity."""
+def _priced(value: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
+    """Knapsack: the multiset of lengths (value[l] each, 0 where absent) worth most within the capacity, and its worth."""
     best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
         v = value[1 : c + 1] + best[c - 1 :: -1][:c]
@@ -145,7 +151,7 @@ def _priced(value: np.ndarray, capacity: int) -> dict[int, int]:
             c -= int(took[c])
         else:
             c -= 1
-    return out
+    return out, float(best[capacity])
 
 
 def _rest(count: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -181,39 +187,67 @@ def _rest(count: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
     return [(dict(Counter(content)), n) for by_content in bins for content, n in by_content.items()]
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[dict[int, int], int]]:
-    """Configurations and how often each is used; together they hold every piece exactly once."""
+Plan = list[tuple[dict[int, int], int]]
+
+
+@dataclass(frozen=True)
+class Solution:
+    """Configurations and how often each is used, and a lower bound (by the dual program) for the sequences of any plan."""
+
+    plan: Plan
+    bound: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.plan)
+
+
+def program(demand: np.ndarray, capacity: int, steps: int = STEPS, need: float = NEEDS[0], rate: float = RATE) -> tuple[dict[tuple, float], float]:
+    """Multiplicative weights for the covering program: (configuration -> amount, lower bound of its optimum)."""
+    sizes = np.arange(capacity + 1) / capacity
+    covered, used = np.zeros(capacity + 1), {}
+    bound = float((sizes * demand).sum())  # sizes are prices too: a configuration is worth 1 at most
+    worth = sizes * (1 + LARGE * sizes)
+    step = max(bound, 1.0) / steps  # no fewer sequences than `steps` such steps
+    for _ in range(2 * steps):
+        weight = np.exp(-rate * covered / np.maximum(demand, 1))
+        price = np.where(covered < demand - 1e-9, worth * (1 + need * weight), 0.0)
+        if not price.any():
+            break
+        config, value = _priced(price, capacity)
+        bound = max(bound, float((price * demand).sum()) / value)
+        amount = max(min([step, *((demand[s] - covered[s]) / k for s, k in config.items())]), 1e-9)
+        key = tuple(sorted(config.items()))
+        used[key] = used.get(key, 0.0) + amount
+        for s, k in config.items():
+            covered[s] += k * amount
+    return used, bound
+
+
+def _rounded(used: dict[tuple, float], count: np.ndarray, capacity: int) -> Plan:
+    """Whole amounts of the program's configurations, the rest by best-fit decreasing."""
+    left, plan = count.copy(), []
+    for key, x in sorted(used.items(), key=lambda u: -u[1]):
+        n = min([int(x + 1e-6), *(int(left[s]) // k for s, k in key)])
+        if n > 0:
+            plan.append((dict(key), n))
+            for s, k in key:
+                left[s] -= n * k
+    return plan + _rest(left, capacity)
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS, needs: tuple[float, ...] = NEEDS, rate: float = RATE) -> Solution:
+    """A plan that holds every piece exactly once, and its bound. The program runs for histograms of any size."""
     count = np.zeros(capacity + 1, np.int64)
     for size, n in histogram.items():
         count[size] = n
-    plan: list[tuple[dict[int, int], int]] = []
-    if count[capacity]:
-        plan.append(({capacity: 1}, int(count[capacity])))
-        count[capacity] = 0
-    demand = count.astype(float)
-    if demand.sum() > 50:  # else rounding leaves all to the rest anyway
-        covered, used = np.zeros(capacity + 1), {}
-        sizes = np.arange(capacity + 1) / capacity
-        worth = sizes * (1 + LARGE * sizes)
-        step = max((sizes * demand).sum(), 1.0) / steps  # no fewer sequences than `steps` such steps
-        for _ in range(2 * steps):
-            weight = np.exp(-RATE * covered / np.maximum(demand, 1))
-            price = np.where(covered < demand - 1e-9, worth * (1 + NEED * weight), 0.0)
-            if not price.any():
-                break
-            config = _priced(price, capacity)
-            amount = max(min([step, *((demand[s] - covered[s]) / k for s, k in config.items())]), 1e-9)
-            key = tuple(sorted(config.items()))
-            used[key] = used.get(key, 0.0) + amount
-            for s, k in config.items():
-                covered[s] += k * amount
-        for key, x in sorted(used.items(), key=lambda u: -u[1]):
-            n = min([int(x + 1e-6), *(int(count[s]) // k for s, k in key)])
-            if n > 0:
-                plan.append((dict(key), n))
-                for s, k in key:
-                    count[s] -= n * k
-    return plan + _rest(count, capacity)
+    whole: Plan = [({capacity: 1}, int(count[capacity]))] if count[capacity] else []
+    count[capacity] = 0
+    solved = [program(count.astype(float), capacity, steps, need, rate) for need in needs]
+    plans = [*(_rounded(used, count, capacity) for used, _ in solved), _rest(count, capacity)]
+    best = min(plans, key=lambda p: sum(n for _, n in p))
+    bound = max((b for _, b in solved), default=float(sum(count * np.arange(capacity + 1))) / capacity)
+    return Solution(whole + best, sum(n for _, n in whole) + int(np.ceil(bound - 1e-6)))
 
 
 def _lookup(plan: list[tuple[dict[int, int], int]]) -> np.ndarray:
@@ -233,22 +267,23 @@ def _lookup(plan: list[tuple[dict[int, int], int]]) -> np.ndarray:
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut`` (a table with ``length`` in 1 to capacity) with ``sequence_id`` and ``offset``; other columns stay."""
     others = [c for c in cut.columns if c not in ("sequence_id", "offset")]
-    cut = materialize(cut.select(*others, F.pmod(F.xxhash64(*[c for c in others if c != "ids"]), F.lit(BUCKETS)).cast("int").alias("__bucket")), "pieces")
-    counts = cut.groupBy("length", "__bucket").agg(F.count("*").alias("n")).orderBy("length", "__bucket").collect()  # at most capacity * BUCKETS rows
-    total: dict[int, int] = {}
-    base = np.zeros((capacity + 1, BUCKETS), np.int64)
-    for r in counts:
-        base[r.length, r["__bucket"]] = total.get(r.length, 0)
-        total[r.length] = total.get(r.length, 0) + r.n
-    shared = cut.sparkSession.sparkContext.broadcast((_lookup(solve(total, capacity)), base))
+    cut = materialize(cut.select(*others), "pieces")
+    histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    table = _lookup(solve(histogram, capacity).plan)
+    shared = cut.sparkSession.sparkContext.broadcast(table)
+    buckets = max(BUCKETS, sum(histogram.values()) // PER_BUCKET)
+    bucketed = cut.withColumn("__bucket", F.pmod(F.xxhash64(*[c for c in others if c != "ids"]), F.lit(buckets)).cast("int"))
+    before = F.sum("n").over(W.partitionBy("length").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))
+    # one row per length and bucket
+    counts = materialize(bucketed.groupBy("length", "__bucket").agg(F.count("*").alias("n")), "counts")
+    first = counts.select(F.col("length").alias("__of"), F.col("__bucket").alias("__in"), F.coalesce(before, F.lit(0)).alias("__first"))
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, base = shared.value
+        table = shared.value
         span = int(table[:, 1].max(initial=0)) + 1 if len(table) else 1
         keys = table[:, 0] * span + table[:, 1]
         for b in batches:
-            length, bucket, row = (b.column(b.num_columns - k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 2, 1))
-            rank = base[length, bucket] + row - 1
+            length, rank = (b.column(b.num_columns - k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 1))
             at = np.searchsorted(keys, length * span + np.minimum(rank, span - 1), side="right") - 1
             _, first, seq, k, offset = table[at].T
             inside = rank - first
@@ -256,9 +291,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 [*b.columns[: len(others)], pa.array(seq + inside // k), pa.array(offset + inside % k * length)], names=[*others, "sequence_id", "offset"]
             )
 
-    ranked = cut.withColumn("__row", F.row_number().over(W.partitionBy("length", "__bucket").orderBy(*[c for c in others if c != "ids"])))
+    row = F.row_number().over(W.partitionBy("length", "__bucket").orderBy(*[c for c in others if c != "ids"]))
+    ranked = bucketed.withColumn("__row", row).join(first, (F.col("length") == F.col("__of")) & (F.col("__bucket") == F.col("__in")))
     schema = ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in others) + ", sequence_id long, offset long"
-    return ranked.select(*others, F.col("length").alias("__length"), "__bucket", "__row").mapInArrow(place, schema)
+    return ranked.select(*others, F.col("length").alias("__length"), (F.col("__first") + F.col("__row") - 1).alias("__rank")).mapInArrow(place, schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

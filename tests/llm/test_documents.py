@@ -1,6 +1,7 @@
 """Operators on documents against brute force: awkward rows, empty tables, clashing columns, and the small test tables."""
 
 import hashlib
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -190,7 +191,9 @@ def test_packing(docs, rows):
 
 @pytest.mark.parametrize("lengths", [[512] * 9, [700] * 5 + [324] * 5, [1024, 1, 1], [400, 300, 324] * 50, list(range(1, 1025)), [341] * 100 + [683] * 40 + [7] * 999])
 def test_plans_hold_every_piece_once_and_few_sequences(lengths):
-    plan = packing.solve(dict(Counter(lengths)))
+    solution = packing.solve(dict(Counter(lengths)))
+    plan = solution.plan
+    assert -(-sum(lengths) // 1024) <= solution.bound <= solution.sequences
     used = Counter()
     for config, n in plan:
         assert sum(s * k for s, k in config.items()) <= 1024 and n > 0
@@ -201,6 +204,75 @@ def test_plans_hold_every_piece_once_and_few_sequences(lengths):
     assert sum(n for _, n in plan) <= bound * 1.01 + 1
 
 
+def test_weights_save_sequences_where_sizes_alone_do_not():
+    """20,000 pieces of 300 to 400 tokens: three fit at most, and which three matters."""
+    lengths = Counter(np.random.default_rng(0).integers(300, 401, 20_000).tolist())
+    count = np.zeros(1025, np.int64)
+    for size, n in lengths.items():
+        count[size] = n
+    greedy = sum(n for _, n in packing._rest(count, 1024))
+    flat, weighted = packing.solve(lengths, needs=(0.0,)), packing.solve(lengths)
+    assert weighted.sequences < 0.97 * min(greedy, flat.sequences) and weighted.bound > sum(k * n for k, n in lengths.items()) / 1024
+
+
+def test_bounds_hold_against_every_packing():
+    """Small cases: no plan goes below the bound, and the plan is within one sequence of the best there is."""
+    def fewest(items, room=12):
+        best = [len(items)]
+
+        def place(k, bins):
+            if len(bins) >= best[0]:
+                return
+            if k == len(items):
+                best[0] = len(bins)
+                return
+            for b in range(len(bins)):
+                if bins[b] + items[k] <= room and bins[b] not in bins[:b]:
+                    place(k + 1, [*bins[:b], bins[b] + items[k], *bins[b + 1 :]])
+            place(k + 1, [*bins, items[k]])
+
+        place(0, [])
+        return best[0]
+
+    rng = np.random.default_rng(5)
+    for _ in range(12):
+        items = sorted(rng.integers(1, 13, 11).tolist(), reverse=True)
+        s = packing.solve(dict(Counter(items)), 12, steps=60)
+        assert s.bound <= fewest(items) <= s.sequences <= fewest(items) + 1
+
+
+def test_both_encoders_across_the_limit_of_long_texts(spark, monkeypatch):
+    """Texts on either side of LONG, and one beyond the real one, get the library's ids."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, coder = Tokenizer.from_file(path), packing.Ids(path)
+    text = "Ein längerer Satz, 3.14 and some \n\n  code_like(words) 中文 😀 " * 40
+    want = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    for limit in (len(text) - 1, len(text), len(text) + 1):
+        monkeypatch.setattr(packing, "LONG", limit)
+        assert coder.text(text) == want(text)
+    monkeypatch.undo()
+    for n in (packing.LONG - 5, packing.LONG + 5):
+        whole = (text * (n // len(text) + 1))[:n]
+        assert coder.text(whole) == want(whole)
+
+
+def test_ranks_of_more_buckets(spark, monkeypatch):
+    """Buckets grow with the pieces and change nothing about the packing."""
+    monkeypatch.setattr(packing, "PER_BUCKET", 1)
+    monkeypatch.setattr(packing, "BUCKETS", 1)
+    rows = [(k, 100 + k % 3) for k in range(500)] + [(7, 100)] * 20
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, length long").repartition(7), 1024).collect()
+    assert Counter((r.doc_id, r.length) for r in out) == Counter(rows)
+    sequences = defaultdict(list)
+    for r in out:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for places in sequences.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 1024
+
+
 def test_packed_rows_are_the_documents_tokens(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = brute.documents(spark)
@@ -236,7 +308,6 @@ def test_keyframe_ranges_point_at_the_samples():
 
 
 def test_foreign_and_broken_files(spark):
-    import struct
 
     box, full = isobmff._box, isobmff._full
     # two chunks, samples of different sizes, 64-bit offsets and box sizes, no sync table, version-0 headers
@@ -261,6 +332,79 @@ def test_foreign_and_broken_files(spark):
     assert {r.doc_id: (r.status, r.payload_bytes) for r in isobmff.media_columns(files).collect()} == {1: ("ok", 15), 2: ("broken", None), 3: ("broken", None)}
 
 
+def _file(*tracks, fragments=b"", data=b"", more=b""):
+    """A file of ``tracks`` (functions of where the data begins), its data and fragments behind."""
+    box = isobmff._box
+    make = lambda at: box(b"moov", *[t(at) for t in tracks], more)
+    at = len(make(0)) + 8
+    return make(at) + box(b"mdat", data) + fragments
+
+
+def _trak(number, handler, codec, tables):
+    box, full = isobmff._box, isobmff._full
+    tkhd = full(b"tkhd", struct.pack(">IIII", 0, 0, number, 0))
+    mdia = lambda stbl: box(b"mdia", full(b"mdhd", struct.pack(">IIII", 0, 0, 90, 0)), full(b"hdlr", struct.pack(">I4s", 0, handler)), box(b"minf", box(b"stbl", full(b"stsd", struct.pack(">I", 1), struct.pack(">I4s", 8, codec)), *stbl)))
+    return lambda at: box(b"trak", tkhd, mdia(tables(at)))
+
+
+def test_all_tracks_compact_sizes_and_the_video_first(spark):
+    full = isobmff._full
+    one = lambda sizes, at: [
+        full(b"stsc", struct.pack(">IIII", 1, 1, len(sizes), 1)), full(b"stz2", struct.pack(">II", 4, len(sizes)), bytes([sizes[0] << 4 | sizes[1], sizes[2] << 4])), full(b"stco", struct.pack(">II", 1, at)),
+    ]
+    audio = _trak(1, b"soun", b"mp4a", lambda at: one([1, 2, 3], at))
+    video = _trak(2, b"vide", b"avc1", lambda at: [*one([4, 5, 6], at + 6), full(b"stss", struct.pack(">II", 1, 2))])
+    media = _file(audio, video, data=b"aabbccddddeeeeeffffff"[:21])
+    t = isobmff.parse(media)
+    at = media.index(b"mdat") + 4
+    assert t["status"] == "ok" and t["codec"] == "avc1" and [x["codec"] for x in t["tracks"]] == ["mp4a", "avc1"]
+    assert t["key_offset"].tolist() == [at + 10] and t["key_size"].tolist() == [5]
+    row = isobmff.media_columns(spark.createDataFrame([(1, media)], "doc_id long, media binary")).first()
+    assert [(x.handler, x.samples, [tuple(k) for k in x.keyframes]) for x in row.tracks] == [("soun", 3, [(at, 1), (at + 1, 2), (at + 3, 3)]), ("vide", 3, [(at + 10, 5)])]
+    assert row.payload_bytes == 15 and row.codec == "avc1"
+
+
+def test_fragments_are_decoded():
+    box, full = isobmff._box, isobmff._full
+    empty = _trak(7, b"vide", b"avc1", lambda at: [full(b"stsz", struct.pack(">II", 0, 0)), full(b"stsc", struct.pack(">I", 0)), full(b"stco", struct.pack(">I", 0))])
+    trex = box(b"mvex", full(b"trex", struct.pack(">5I", 7, 1, 10, 4, 0x10000)))
+    head = _file(empty, more=trex, data=b"")
+    assert isobmff.parse(head)["status"] == "no samples"
+
+    def fragment(first):
+        # sizes of its own, then the track's default size; the first sample of a run is a sync sample
+        trun = lambda at: full(b"trun", struct.pack(">IiI", 2, at, 0), struct.pack(">II", 3, 5), flags=0x205)
+        rest = full(b"trun", struct.pack(">I", 2))
+        make = lambda at: box(b"moof", box(b"traf", full(b"tfhd", struct.pack(">I", 7), flags=0x20000), trun(at), rest))
+        return make(len(make(0)) + 8) + box(b"mdat", first)
+
+    body = [fragment(b"abcdefghIIIIJJJJ"), fragment(b"ABCDEFGHiiiijjjj")]
+    t = isobmff.parse(head + b"".join(body))
+    assert t["status"] == "ok" and t["samples"] == 8 and t["duration"] == 80
+    assert isobmff.payload_of(head + b"".join(body), t) == b"abcdefghIIIIJJJJABCDEFGHiiiijjjj"
+    ends = [len(head) + len(body[0]) - 16, len(head) + len(b"".join(body)) - 16]
+    assert t["key_offset"].tolist() == ends and t["key_size"].tolist() == [3, 3]
+
+
+def test_hostile_files_are_broken_not_fatal():
+    box, full = isobmff._box, isobmff._full
+    deep = b""
+    for _ in range(3000):
+        deep = box(b"dinf", deep)
+    assert isobmff.parse(box(b"moov", deep))["status"] == "no track"
+    huge = lambda *tables: _file(_trak(1, b"vide", b"avc1", lambda at: tables), data=b"x" * 50)
+    offsets, runs = full(b"stco", struct.pack(">II", 1, 100)), full(b"stsc", struct.pack(">IIII", 1, 1, 0xFFFFFFFF, 1))
+    for tables in (
+        (full(b"stsz", struct.pack(">II", 1, 0xFFFFFFFF)), runs, offsets),  # four thousand million samples in a small file
+        (full(b"stsz", struct.pack(">II", 0, 0xFFFFFFFF)), runs, offsets),
+        (full(b"stsz", struct.pack(">II", 4, 2)), full(b"stsc", struct.pack(">IIII", 1, 5, 1, 1)), offsets),
+        (full(b"stsz", struct.pack(">II", 4, 2)), runs, offsets, full(b"stss", struct.pack(">II", 1, 0))),
+        (full(b"stsz", struct.pack(">II", 40, 2)), runs, full(b"stco", struct.pack(">II", 1, 1 << 31))),
+    ):
+        assert isobmff.parse(huge(*tables))["status"] == "broken"
+    assert isobmff.parse(huge(full(b"stsz", struct.pack(">II", 4, 2)), runs, offsets))["samples"] == 2
+
+
 # ---------------------------------------------------------------- near-duplicates
 
 

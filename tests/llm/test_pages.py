@@ -170,6 +170,93 @@ def test_vectors_do_not_depend_on_partitions(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
+def plain_templates(rows):
+    """Group of hosts -> (tags, content tags, texts), with whole occurrence vectors instead of sums of hashes."""
+    from collections import defaultdict
+    from urllib.parse import urlsplit
+
+    by_host = defaultdict(set)
+    for _, url, html in rows:
+        by_host[urlsplit(url or "").netloc.lower()].add(html or "")
+    groups = defaultdict(list)
+    for host, pages in by_host.items():
+        groups[host if len(pages) >= 3 else ""] += [(host, p) for p in sorted(pages)]
+    out = {}
+    for group, pages in groups.items():
+        vectors, where, share, texts = defaultdict(dict), defaultdict(list), defaultdict(list), set()
+        for k, (_, html) in enumerate(pages):
+            items = html_template.read_page(html)
+            for x in items:
+                text = isinstance(x, html_template.Block)
+                token = html_template._text_token(x) if text else x.token
+                vectors[token][k] = vectors[token].get(k, 0) + 1
+                where[token, k] = where[token, k] + [x.position / len(items)]
+                share[token].append(0.0 if text else float(x.content))
+                texts |= {token} if text else set()
+        classes = defaultdict(list)
+        for token, v in vectors.items():
+            if len(v) >= max(3, 0.2 * len(pages)):
+                at = sum(sum(where[token, k]) / len(where[token, k]) for k in v) / len(v)
+                classes[tuple(sorted(v.items()))].append((at, token))
+        found = [(v, sorted(m)) for v, m in classes.items() if len(m) >= 3]
+        found.sort(key=lambda c: (-len(c[0]), sum(n for _, n in c[0]), -len(c[1]), c[1][0][1]))
+        kept = []
+        for v, members in found:
+            gap = lambda p, others: sum(1 for q, _ in others if q < p)
+            if all(gap(members[0][0], o) == gap(members[-1][0], o) or gap(o[0][0], members) == gap(o[-1][0], members) for _, o in kept):
+                kept.append((v, members))
+        tags = {t for _, m in kept for _, t in m if t not in texts}
+        content = {t for t in tags if sum(share[t]) / len(share[t]) > 0.5}
+        out[group] = tags, content, {t for v, m in kept if len(v) > 0.5 * len(pages) for _, t in m if t in texts}
+    return {g: t for g, t in out.items() if t[0] or t[2]}
+
+
+def frame_page(k):
+    """Pages of one site: its own frame, an article in it, notices that vary, and on some pages a list of comments."""
+    body = "".join(f"<p>Story {k} part {p}</p>" for p in range(1 + k % 4))
+    talk = '<div class="comments"><p>reader says</p></div>' if k % 3 == 0 else ""
+    return (
+        f'<html><body><div class="bar"><div>Daily</div><div>Day {k}</div></div><div class="promo-x">Offer {k}</div><article><h1>T{k}</h1>{body}{talk}</article>'
+        f'<div class="tail"><div>More {k}</div><p>Imprint</p></div></body></html>'
+    )
+
+
+def test_templates_against_whole_vectors(spark):
+    small = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    made = [(1000 + k, f"http://f.example/{k}", frame_page(k)) for k in range(12)] + [(2000 + k, f"http://one{k}.example/", frame_page(k)) for k in range(4)]
+    copies = [(3000 + k, "http://f.example/5", frame_page(5)) for k in range(20)]
+    rows = small + made + copies
+    hosted = html_template._hosted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5))
+    got = {r.host: (set(r.tags), set(r.content), set(r.texts)) for r in html_template.deduced(hosted)[0].collect()}
+    assert got == plain_templates(rows) and got["f.example"][1] and got["f.example"][2]
+
+
+def test_slots_decide_and_elements_only_choose_among_them():
+    """What lies behind a tag of the template that isn't content stays out whatever it looks like on this page, and the other way round."""
+    tags = {x.token: x for x in html_template.read_page(frame_page(1)) if isinstance(x, html_template.Tag)}
+    content = frozenset(t for t, x in tags.items() if x.content)
+    whole = html_template.main_text(frame_page(1))
+    assert html_template.main_text(frame_page(1), html_template.Template(frozenset(tags), content, frozenset())) == whole == "T1\nStory 1 part 0\nStory 1 part 1"
+    other = html_template.Template(frozenset(tags), frozenset(t for t, x in tags.items() if not x.content), frozenset())
+    assert "Story" not in html_template.main_text(frame_page(1), other) and "More 1" in html_template.main_text(frame_page(1), other)
+    # an article that the template doesn't know still counts
+    more = frame_page(1).replace("</body>", "<main><p>second</p></main></body>")
+    assert html_template.main_text(more, html_template.Template(frozenset(tags), content, frozenset())) == whole + "\nsecond"
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        text = html_template.main_text("<div>" * n + "<article><p>deep</p>" + "<ul><li>x" * n + "</article>")
+        assert text.startswith("deep\nx")
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(80_000) < 40 * max(seconds(8_000), 0.02)  # about 1.1 MB; quadratic would be a hundredfold
+
+
 def test_classes_must_nest():
     outer, inner, crossing = (1, [0.1, 0.9]), (2, [0.3, 0.5]), (3, [0.4, 0.95])
     assert html_template._nested([outer, inner, crossing]) == [1, 2]

@@ -159,3 +159,25 @@ def filter_kept(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         & (F.size(compile_rules(q, rules)) == 0),
     )
     return docs.where(b)
+
+
+def _rule_sql(r: Rule) -> str:
+    tests = [f"{r.metric} < {r.low}"] * (r.low is not None) + [f"{r.metric} > {r.high}"] * (r.high is not None)
+    return f"CASE WHEN ({' OR '.join(tests)}) AND n_words >= {r.min_words} THEN '{r.metric}' END"
+
+
+_IN = ", ".join(f"'{x}'" for x in STOP_FORMS)
+#: The same over rows of windows instead of arrays: a window's count tells, its three words are marked.
+SQL = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS k FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+x AS (SELECT k, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS win FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, win) AS c FROM x) WHERE c > 1),
+c AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY k),
+f AS (SELECT doc_id, len(w) AS n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    len(regexp_extract_all(text, '[{SYMBOLS}]')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+    len(list_filter(w, lambda x: lower(x) IN ({_IN}))) AS n_stop, len(regexp_extract_all(text, '!')) AS n_bangs
+  FROM w LEFT JOIN c ON w.k = c.k),
+m AS (SELECT *, word_chars / greatest(n_words, 1) AS mean_word_chars, n_symbols / greatest(n_words, 1) AS symbols_per_word, n_bangs / greatest(n_words, 1) AS bangs_per_word,
+    n_stop / greatest(n_words, 1) AS stop_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+v AS (SELECT *, concat_ws(',', {", ".join(map(_rule_sql, RULES))}) AS failed_rules FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM v"""

@@ -49,7 +49,7 @@ def op7_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = isobmff.feature(isobmff.media_columns(isobmff.encode(table(spark, sf_dir, "documents"))))
-    return media.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return media.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "keyframes")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +64,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc_segments, op2_token_counts, op3_pii_bootstrap, op4_cotraining, op5_html_template, op6_config_lp_packing, op7_ipf_mixing, op8_media_columns, op9_simhash, op10_quality_rules)
 }
-SQL: dict[str, str] = {"op1_warc_segments": warc.SQL}
+SQL: dict[str, str] = {"op1_warc_segments": warc.SQL, "op10_quality_rules": quality_rules.SQL}

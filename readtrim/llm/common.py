@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH = "8m"
+#: Rows of one key that a join keeps together at most, where the key may be hot.
+HOT = 512
 #: Characters that separate words everywhere in this package: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -54,5 +56,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def dealt_join(big: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small`` (one row per ``key``; ``n``: how many rows of ``big`` have it).
+
+    Keys with more than HOT rows are dealt: ``small``'s row is repeated for each part, a row of ``big`` goes to the
+    part that the hash of ``spread`` names. The table of such keys holds at most 1 / HOT of ``big``'s rows; the planner sees its size.
+    """
+    hot = materialize(small.where(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("__parts")), "hot")
+    small = small.drop("n")
+    if hot.isEmpty():
+        return big.join(small, key, how)
+    part = F.pmod(F.xxhash64(F.col(spread), F.lit(11)), F.coalesce("__parts", F.lit(1))).cast("int").alias("__part")
+    mine = big.join(hot, key, "left").select(*big.columns, part)
+    parts = F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)
+    theirs = small.join(hot, key, "left").select(*small.columns, F.explode(parts).alias("__part"))
+    return mine.join(theirs, [key, "__part"], how).drop("__part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

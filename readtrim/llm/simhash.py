@@ -11,7 +11,7 @@
    exceed the budget. A node of one row is a leaf: its remaining bits are compared at once.
 4. Of the links in a group only a spanning forest leaves the task (the components stay the same), then components come
    from alternating large-star and small-star steps, each materialised in the shared folder. Joins on a key that may be
-   hot (a star's centre, a label, a fingerprint with many copies) deal the key's rows into parts of ``HOT`` rows.
+   hot (a star's centre, a label, a fingerprint with many copies) deal the key's rows into parts of ``common.HOT`` rows.
 
 Edge cases: a null or empty text has fingerprint zero and links like any other; repeated rows and ids are rows of
 their own; a null id never is a component's id unless all its ids are null; extra columns are ignored; empty in, empty out.
@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import dealt_join, materialize
 
-BITS, BUDGET, GROUP, HOT = 64, 4, 4096, 512
+BITS, BUDGET, GROUP = 64, 4, 4096
 #: Rows that the nearly exact filter of ``keep_first`` may broadcast: one long each.
 SLOTS = 1 << 20
 #: Node pairs that a task splits at once.
@@ -266,23 +266,6 @@ def links(distinct: DataFrame, m: int | None = None) -> DataFrame:
     )
 
 
-def dealt_join(big: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
-    """``big`` joined with ``small`` (one row per ``key``; ``n``: how many rows of ``big`` have it).
-
-    Keys with more than HOT rows are dealt: ``small``'s row is repeated for each part, a row of ``big`` goes to the
-    part that the hash of ``spread`` names. The table of such keys holds at most 1 / HOT of ``big``'s rows; the planner sees its size.
-    """
-    hot = materialize(small.where(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("__parts")), "hot")
-    small = small.drop("n")
-    if hot.isEmpty():
-        return big.join(small, key, how)
-    part = F.pmod(F.xxhash64(F.col(spread), F.lit(11)), F.coalesce("__parts", F.lit(1))).cast("int").alias("__part")
-    mine = big.join(hot, key, "left").select(*big.columns, part)
-    parts = F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)
-    theirs = small.join(hot, key, "left").select(*small.columns, F.explode(parts).alias("__part"))
-    return mine.join(theirs, [key, "__part"], how).drop("__part")
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label) of every node in a link: label is the component's smallest node. Large-star, then small-star."""
     edges = materialize(edges.select("a", "b"), "edges")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from .operators import dedup, detect, simulate, stats
 from .plans.options import TrimOptions
 from .plans.pipeline import Pipeline
-from .plans.store import materialize
+from .plans.store import materialize, new_path as materialized_path
 from .sources import fastq
 
 #: Flags that switch something off, by option.
@@ -39,7 +40,8 @@ def parser() -> argparse.ArgumentParser:
     trim.add_argument("-t", "--threads", type=int, help="cores of a local session (a cluster's master decides otherwise)")
     trim.add_argument("--log2-chunk-size", type=int, default=26, help="bytes of an input split, as a power of two (20 to 30)")
     trim.add_argument("--stats", action="store_true", help="accepted, without effect")
-    trim.add_argument("-p", "--procs", default="1", help=argparse.SUPPRESS)
+    trim.add_argument("-p", "--procs", type=int, default=4, help="samples at work at the same time")
+    trim.add_argument("--single-files", action="store_true", help="good reads as one file per mate instead of a folder of parts")
     trim.add_argument("-C", "--clip-after", type=int, default=0, help=argparse.SUPPRESS)
     trim.add_argument("-c", "--clip5", type=int, default=0, help=argparse.SUPPRESS)
     trim.add_argument("--collisions", action="store_true", help="with PCR dedup: list short keys that different sequences share")
@@ -111,7 +113,11 @@ def trim_sample(spark: SparkSession, args: argparse.Namespace, file1: str, file2
     files = {}
     for m, f in enumerate([file1, file2] if file2 else [file1], 1):
         files[f"good-read{m}"] = f"{out}/{fastq.output_name(f, args.compress)}"
-        fastq.write_fastq(good, files[f"good-read{m}"], m, fastq.codec(f, args.compress))
+        target = files[f"good-read{m}"]
+        folder = materialized_path(spark, "parts") if args.single_files else target
+        fastq.write_fastq(good, folder, m, fastq.codec(f, args.compress))
+        if args.single_files:
+            fastq.join_parts(spark, folder, target)
     figures = chain.report(trimmed.drop("sample")).first().asDict()
     if options.pcr_dedup:
         alive = trimmed.where(F.col("drop_reason").isNull() | (F.col("drop_reason") == "PCRDedup"))
@@ -144,15 +150,20 @@ def trim_sample(spark: SparkSession, args: argparse.Namespace, file1: str, file2
 
 
 def detect_adapters(spark: SparkSession, args: argparse.Namespace, options: TrimOptions) -> DataFrame:
-    """Paired: a summary row per pair of files. Single: the five best known adapters of each file."""
+    """Paired: a summary row per pair of files. Single: the five best known adapters of each file, none where too few reads have one."""
     if args.read2:
-        pairs = fastq.read_pairs(spark, args.read1, args.read2)
+        pairs = fastq.read_pairs(spark, args.read1, args.read2, detect.SAMPLE_READS)
         found = detect.detect_pairs(pairs, options.kmer_tolerance + 1)
         files = spark.createDataFrame([(fastq.sample_name(a), a, b) for a, b in zip(args.read1, args.read2, strict=True)], "sample string, r1 string, r2 string")
         return detect.summary(found, files)
     out = None
     for f in args.read1:  # one table of five rows per file
-        top = detect.top_known(detect.count_known(fastq.read_single(spark, f))).withColumn("file", F.lit(f))
+        reads = materialize(fastq.read_single(spark, f, first_reads=detect.SAMPLE_READS), "head")
+        counts = materialize(detect.count_known(reads), "known")
+        top = detect.top_known(counts).withColumn("file", F.lit(f))
+        if detect.found_known(counts, reads.count()).isEmpty():
+            print(f"no adapter detected: {f}")
+            top = top.where("false")
         out = top if out is None else out.unionByName(top)
     return out
 
@@ -176,8 +187,8 @@ def main(argv: list[str] | None = None) -> int:
                 raise ValueError("; ".join(gone))
             if not 20 <= args.log2_chunk_size <= 30:
                 raise ValueError("--log2-chunk-size must be 20 to 30")
-            if args.procs != "1":
-                print("readtrim: --procs has no effect")
+            if args.procs < 1:
+                raise ValueError("--procs must be at least 1")
             spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << args.log2_chunk_size))
             options = options_of(args)
             if args.read2 and len(args.read1) != len(args.read2):
@@ -192,8 +203,8 @@ def main(argv: list[str] | None = None) -> int:
             if args.read2:
                 _tsv(found, f"{args.output_dir.rstrip('/')}/adapter_detection.{time.strftime('%Y%m%d-%H%M%S')}.tsv")
             return 0
-        for k, f in enumerate(args.read1):
-            trim_sample(spark, args, f, args.read2[k] if args.read2 else None, options)
+        with ThreadPoolExecutor(min(args.procs, len(args.read1))) as pool:  # samples are jobs of their own, side by side
+            list(pool.map(lambda f, g: trim_sample(spark, args, f, g, options), args.read1, args.read2 or [None] * len(args.read1)))
     elif args.program == "simulate":
         pairs = materialize(simulate.simulate(
             spark, args.insert_sizes, args.repeat, args.seq_length, args.adapter1, args.adapter2, tuple(args.substitution), tuple(args.insertion), tuple(args.deletion), args.seed

@@ -1,7 +1,8 @@
 """FASTQ files as DataFrames with an explicit record index, and back.
 
 Reading uses Spark's text source (plain files are split, ``.gz`` and ``.bz2`` decoded by extension, any store Spark can
-open). Lines know their file block; blocks are counted once, a running sum over the few blocks of each file gives every
+open). The text is scanned once: its lines are written with the file block they came from and their place in it, so nothing
+depends on how Spark would split the files another time. A running sum over the few blocks of each file gives every
 line its number, and four lines with the same ``number div 4`` become a record in one exchange. Mates are assembled
 in the same exchange: reads of a pair share (sample, idx).
 """
@@ -10,7 +11,6 @@ from __future__ import annotations
 
 import json
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -56,25 +56,35 @@ def codec(path: str, compress: str = "AUTO") -> str:
     return kind
 
 
-def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, line, value): every line with its number in its file, from 0.
+def _scanned(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(lines, blocks) of text files, read once: (part, block, at, value), and per block its lines, how many are filled, its first ``at``.
 
-    A folder of parts, as Spark writes it, counts as one file: its parts follow each other by name.
+    Splits may differ from one scan to the next (they follow the cores at hand), so both come from one written table.
     """
-    lines = spark.read.text(paths).select(
-        "value",
-        F.col("_metadata.file_path").alias("part"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
+    lines = spark.read.text(list(dict.fromkeys(paths))).select(
+        F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"
     )
+    lines = materialize(lines, "lines")
+    blocks = lines.groupBy("part", "block").agg(F.count("*").alias("n"), F.count_if(F.col("value") != "").alias("filled"), F.min("at").alias("first"))
     # one row per block: a few thousand for a terabyte
-    blocks = materialize(lines.groupBy("part", "block").agg(F.count("*").alias("n"), F.min("at").alias("first")), "blocks")
-    blocks = blocks.withColumn("file", F.regexp_replace("part", "/part-[^/]*$", ""))
+    return lines, materialize(blocks.withColumn("file", F.regexp_replace("part", "/part-[^/]*$", "")), "blocks")
+
+
+def _numbered(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(file, line, value): the lines with their number in their file, from 0."""
     before = F.sum("n").over(W.partitionBy("file").orderBy("part", "block").rowsBetween(W.unboundedPreceding, -1))
     starts = blocks.select("part", "block", "file", "first", F.coalesce(before, F.lit(0)).alias("before"))
     return lines.join(starts, ["part", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
 
 
+def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, line, value): every line with its number in its file, from 0.
+
+    A folder of parts, as Spark writes it, counts as one file: its parts follow each other by name.
+    """
+    return _numbered(*_scanned(spark, paths))
+
+
 def _field(k: int, when: Column | None = None) -> Column:
     here = F.col("line") % 4 == k
     if k == 0:  # blank lines behind the last record are none
@@ -92,69 +102,72 @@ def _checked(df: DataFrame, mates: tuple[str, ...]) -> DataFrame:
     return df
 
 
-def read_single(spark: SparkSession, paths: list[str] | str, allow_empty: bool = False) -> DataFrame:
-    """(sample, idx, id1, seq1, des1, qual1) of single-end files; an input without reads is an error."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    lines = numbered_lines(spark, paths)
-    if not allow_empty and lines.isEmpty():
+def read_single(spark: SparkSession, paths: list[str] | str, allow_empty: bool = False, first_reads: int | None = None) -> DataFrame:
+    """(sample, idx, id1, seq1, des1, qual1) of single-end files; an input without reads is an error.
+
+    ``first_reads``: only that many of each file, told before lines are exchanged.
+    """
+    lines, blocks = _scanned(spark, [paths] if isinstance(paths, str) else list(paths))
+    if not allow_empty and not (blocks.agg(F.sum("filled")).first()[0] or 0):
         raise ValueError("empty input")
+    lines = _head(_numbered(lines, blocks), first_reads)
     name = _sample_of(F.col("file"))
     rows = lines.groupBy(name.alias("sample"), F.floor(F.col("line") / 4).alias("idx")).agg(*[_field(k).alias(f"{f}1") for k, f in enumerate(FIELDS)])
     return _checked(rows.where("id1 is not null or seq1 <> ''"), ("1",))
 
 
+def _head(lines: DataFrame, first_reads: int | None) -> DataFrame:
+    return lines if first_reads is None else lines.where(F.col("line") < 4 * first_reads)
+
+
 def _sample_of(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, "([^/]*)/?$", 1), r"(?i)\.(fastq|fq)(\.gz|\.bz2)?$", "")
 
 
-def read_pairs(spark: SparkSession, paths1: list[str] | str, paths2: list[str] | str) -> DataFrame:
+def read_pairs(spark: SparkSession, paths1: list[str] | str, paths2: list[str] | str, first_reads: int | None = None) -> DataFrame:
     """(sample, idx, id1, seq1, des1, qual1, id2, seq2, des2, qual2); ``sample`` is named after mate 1's file.
 
     Files pair by position. A pair of files with different numbers of reads is paired as far as the shorter one goes
-    (see :func:`unpaired`); if one of them has no reads at all that is an error.
+    (see :func:`unpaired`); if one of them has no reads at all that is an error. ``first_reads``: only that many of each file.
     """
-    paths1, paths2 = ([p] if isinstance(p, str) else list(p) for p in (paths1, paths2))
-    if len(paths1) != len(paths2):
-        raise ValueError("as many files of mate 2 as of mate 1 are needed")
-    rows = _paired_lines(spark, paths1, paths2)
-    both = rows.where("id1 is not null and id2 is not null")
-    if both.isEmpty() and not rows.isEmpty():
+    rows, filled = _paired_lines(spark, paths1, paths2, first_reads)
+    mates = {(r["sample"], r["mate"]): r["filled"] for r in filled.collect()}  # two rows per sample
+    samples = {s for s, _ in mates}
+    if any((not mates.get((s, 1))) != (not mates.get((s, 2))) for s in samples):
         raise ValueError("one of the mates has no reads")
-    return _checked(both, ("1", "2"))
+    return _checked(rows.where("id1 is not null and id2 is not null"), ("1", "2"))
 
 
-def _paired_lines(spark: SparkSession, paths1: list[str], paths2: list[str]) -> DataFrame:
+def _paired_lines(spark: SparkSession, paths1: list[str] | str, paths2: list[str] | str, first_reads: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records of both mates by sample and idx, filled lines by sample and mate), from one scan of all files."""
+    paths1, paths2 = ([p] if isinstance(p, str) else list(p) for p in (paths1, paths2))
+    if len(paths1) != len(paths2):
+        raise ValueError("as many files of mate 2 as of mate 1 are needed")
     names = [sample_name(p) for p in paths1]
     if len(set(names)) < len(names):
         raise ValueError("files of mate 1 need different names")
-    # file name -> (sample, mate): a literal map, one entry per input file
-    pairs = [(p, n, m) for m, paths in ((1, paths1), (2, paths2)) for p, n in zip(paths, names, strict=True)]
-    lines = reduce(
-        DataFrame.unionByName,
-        [numbered_lines(spark, [p]).select(F.lit(n).alias("sample"), F.lit(m).alias("mate"), "line", "value") for p, n, m in pairs],
-    ) if len(pairs) <= 64 else _many(spark, pairs)
-    return lines.groupBy("sample", F.floor(F.col("line") / 4).alias("idx")).agg(
-        *[_field(k, F.col("mate") == m).alias(f"{f}{m}") for m in (1, 2) for k, f in enumerate(FIELDS)]
-    )
-
-
-def _many(spark: SparkSession, pairs: list[tuple[str, str, int]]) -> DataFrame:
-    """Many files in one scan: their samples and mates come from a table of the input files."""
 
     def whole(path: str) -> str:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri().toString()
 
     bare = lambda c: F.regexp_replace(c, "^([a-z0-9+.-]+):/+", "$1:")  # noqa: E731  file:/x and file:///x are the same
-    table = spark.createDataFrame([(whole(p), n, m) for p, n, m in pairs], "path string, sample string, mate int")
-    lines = numbered_lines(spark, [p for p, _, _ in pairs]).withColumn("path", bare(F.col("file")))
-    return lines.join(table.withColumn("path", bare(F.col("path"))), "path").select("sample", "mate", "line", "value")
+    # one row per input file; a file may serve several samples or mates
+    pairs = [(whole(p), n, m) for m, paths in ((1, paths1), (2, paths2)) for p, n in zip(paths, names, strict=True)]
+    files = spark.createDataFrame(pairs, "path string, sample string, mate int").select(bare(F.col("path")).alias("path"), "sample", "mate")
+    lines, blocks = _scanned(spark, [*paths1, *paths2])
+    by_file = blocks.groupBy(bare(F.col("file")).alias("path")).agg(F.sum("filled").alias("filled"))
+    filled = files.join(by_file, "path", "left").select("sample", "mate", F.coalesce("filled", F.lit(0)).alias("filled"))
+    mine = _head(_numbered(lines, blocks), first_reads).withColumn("path", bare(F.col("file"))).join(files, "path")
+    rows = mine.groupBy("sample", F.floor(F.col("line") / 4).alias("idx")).agg(
+        *[_field(k, F.col("mate") == m).alias(f"{f}{m}") for m in (1, 2) for k, f in enumerate(FIELDS)]
+    )
+    return rows, filled
 
 
 def unpaired(spark: SparkSession, paths1: list[str] | str, paths2: list[str] | str) -> DataFrame:
     """(sample, mate1, mate2, unpaired): how many reads each file has."""
-    paths1, paths2 = ([p] if isinstance(p, str) else list(p) for p in (paths1, paths2))
-    rows = _paired_lines(spark, paths1, paths2)
+    rows, _ = _paired_lines(spark, paths1, paths2)
     has = lambda m: F.sum(F.col(f"id{m}").isNotNull().cast("int"))
     return rows.groupBy("sample").agg(has(1).alias("mate1"), has(2).alias("mate2"), (F.abs(has(1) - has(2))).alias("unpaired"))
 
@@ -179,6 +192,25 @@ def write_fastq(reads: DataFrame, path: str, mate: int = 1, compression: str = "
     formatted(reads, mate).write.mode("overwrite").option("compression", compression).text(path)
 
 
+def join_parts(spark: SparkSession, folder: str, path: str) -> None:
+    """The parts of ``folder`` as one file, in order, byte by byte (compressed parts stay valid one behind the other).
+
+    The bytes pass through the driver in small buffers; on a cluster the folder itself is the faster form.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
+    fs = source.getFileSystem(conf)
+    parts = sorted(str(f.getPath()) for f in fs.listStatus(source) if f.getPath().getName().startswith("part-"))
+    out = target.getFileSystem(conf).create(target, True)
+    try:
+        for part in parts:
+            stream = fs.open(jvm.org.apache.hadoop.fs.Path(part))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+            stream.close()
+    finally:
+        out.close()
+
+
 def read_aln_lengths(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(id, length) of the reads of a simulator's alignment files: the aligned read (third line of a record) without gaps."""
     lines = numbered_lines(spark, [path] if isinstance(path, str) else list(path))

@@ -165,6 +165,36 @@ def test_folders_of_parts_are_one_file(spark, tmp_path):
     assert [(r.sample, r.idx, r.id1) for r in got] == [("x", k, f"@r{k} 1") for k in range(500)]
 
 
+def test_other_splits_later_lose_no_line(spark, tmp_path):
+    """Spark may cut the files differently from one job to the next, as executors come and go."""
+    n = 60_000
+    (tmp_path / "x.fq").write_text("".join(f"@r{k}\nACGT\n+\nIIII\n" for k in range(n)))
+    name = "spark.sql.files.minPartitionNum"
+    try:
+        spark.conf.set(name, "4")
+        reads = fastq.read_single(spark, str(tmp_path / "x.fq"))
+        pairs = fastq.read_pairs(spark, str(tmp_path / "x.fq"), str(tmp_path / "x.fq"))
+        spark.conf.set(name, "7")
+        assert reads.where("id1 = concat('@r', idx)").count() == n
+        spark.conf.set(name, "2")
+        assert pairs.where("id2 = concat('@r', idx)").count() == n
+    finally:
+        spark.conf.unset(name)
+
+
+def test_parts_joined_to_one_file(spark, tmp_path):
+    import gzip
+
+    df = frame(spark, ["ACGT"] * 300, ["A"] * 300).repartition(5)
+    for codec, ending in (("none", ""), ("gzip", ".gz")):
+        fastq.write_fastq(df, str(tmp_path / f"parts{ending}"), 1, codec)
+        fastq.join_parts(spark, str(tmp_path / f"parts{ending}"), str(tmp_path / f"x.fq{ending}"))
+        raw = (tmp_path / f"x.fq{ending}").read_bytes()
+        lines = (gzip.decompress(raw) if ending else raw).decode().splitlines()
+        assert lines[::4] == [f"@r{k} 1" for k in range(300)]
+        assert fastq.read_single(spark, str(tmp_path / f"x.fq{ending}")).count() == 300
+
+
 def test_pairs_of_several_samples_and_unequal_files(spark, tmp_path):
     def put(name, n, mate):
         (tmp_path / name).write_text("".join(f"@{name}.{k} {mate}\nACGT\n+\nIIII\n" for k in range(n)))
@@ -176,8 +206,8 @@ def test_pairs_of_several_samples_and_unequal_files(spark, tmp_path):
         *[("a_1", k, f"@a_1.fq.{k} 1", f"@a_2.fq.{k} 2") for k in range(5)], *[("b_1", k, f"@b_1.fq.{k} 1", f"@b_2.fq.{k} 2") for k in range(3)]
     ]
     assert sorted(map(tuple, fastq.unpaired(spark, [a1, b1], [a2, b2]).collect())) == [("a_1", 5, 5, 0), ("b_1", 4, 3, 1)]
-    many = fastq._many(spark, [(a1, "a", 1), ("file://" + b2, "b", 2)])
-    assert sorted(map(tuple, many.groupBy("sample", "mate").count().collect())) == [("a", 1, 20), ("b", 2, 12)]
+    assert fastq.read_pairs(spark, [a1, b1], ["file://" + a2, b2], first_reads=2).count() == 4
+    assert fastq.read_pairs(spark, a1, a1).where("id1 = id2").count() == 5  # one file as both mates
     with pytest.raises(ValueError, match="no reads"):
         fastq.read_pairs(spark, a1, put("empty.fq", 0, 2))
     with pytest.raises(ValueError, match="empty input"):

@@ -43,7 +43,7 @@ def test_adapter_stats_count_every_pair(spark):
                 expected[mate, cut].append((sum(q) / len(q), size + 1))
                 flaws.add(r.v)
     assert flaws == set(range(7))
-    got = {(r.mate, r.adapter): r for r in QUERIES["adapter_stats_all_pairs"](spark, SF).collect()}
+    got = {(r.mate, r.adapter): r for r in QUERIES["adapter_group_stats"](spark, SF).collect()}
     assert set(got) == set(expected)
     for k, found in expected.items():
         n = len(found)
@@ -53,6 +53,6 @@ def test_adapter_stats_count_every_pair(spark):
 
 def test_length_filter_judges_every_pair(spark):
     rows = read_pairs(spark, SF).collect()
-    got = {r.idx: r.good for r in QUERIES["length_filter_all_pairs"](spark, SF).collect()}
+    got = {r.idx: r.good for r in QUERIES["length_filter"](spark, SF).collect()}
     assert got == {r.idx: all(50 <= len(s) <= 100 for s in (r.seq1, r.seq2)) for r in rows}
     assert any(len(r.seq1) == 100 and got[r.idx] for r in rows) and not all(got.values())

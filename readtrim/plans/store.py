@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Stands for the shared folder where the session has none; a local session only.
 _LOCAL: list[str] = []
+#: Tables and folders that this process has made; they go with it.
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +29,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/readtrim-{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/readtrim-{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clean_up() -> None:
+    """Delete all intermediate tables of this process. Frames that still read one of them can't be used any more."""
+    context = SparkContext._active_spark_context
+    while _MADE and context is not None:
+        path = context._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    try:
+        clean_up()
+    except (Py4JError, OSError):  # the session is gone already; its folder is the cluster's to clear
+        pass
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

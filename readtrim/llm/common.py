@@ -2,44 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.store import materialize, new_path, shared_dir
+
 BATCH = "8m"
 #: Rows of one key that a join keeps together at most, where the key may be hot.
 HOT = 512
+#: Hash slots of keys that a broadcast may hold: one long each.
+SLOTS = 1 << 20
 #: Characters that separate words everywhere in this package: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set here only where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="readtrim-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/readtrim-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
-
-    A lost executor costs nothing then: readers open the shared files again.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(df: DataFrame) -> DataFrame:
     """``df``, its session set to Arrow batches of at most BATCH bytes where the size was left at Spark's default.
 
@@ -73,5 +51,19 @@ def dealt_join(big: DataFrame, small: DataFrame, key: str, spread: str, how: str
     return mine.join(theirs, [key, "__part"], how).drop("__part")
 
 
+def parted(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that certainly have none of the ``keys``, all others): told by hash slots, SLOTS numbers at most, which are broadcast.
+
+    The first part needs no shuffle whatever the rows hold; only the second one has to meet the keys themselves.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)).alias("__slot")
+    slots = materialize(keys.select(slot).distinct(), "slots")
+    marked = rows.withColumn("__slot", slot)
+    return tuple(marked.join(F.broadcast(slots), "__slot", how).select(*rows.columns) for how in ("left_anti", "left_semi"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+__all__ = ["BATCH", "HOT", "SLOTS", "WORD", "bounded_batches", "dealt_join", "let", "materialize", "new_path", "parted", "shared_dir", "table"]

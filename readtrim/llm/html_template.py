@@ -35,11 +35,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import SLOTS, materialize
 
 SUPPORT, MOST, CLASS, PAGES, SALTS = 0.2, 0.5, 3, 3, 16
-#: Hash slots of copied pages that are broadcast at most: one long each.
-SLOTS = 1 << 20
 
 _MARKUP = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S

@@ -18,23 +18,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, let, materialize
 
 DIMS = ("source", "lang", "topic")
 ROUNDS, FILL, ALPHA, SHARE = 6, 4, 0.7, 0.6
 SEED = "mix-1"
 
 
+#: Topics by the form of a text: what counts, and for how many characters of the text one of it stands.
+FORMS = (
+    ("legal", 1500, ("icense", "opyright", "ights reserved", "arrant", "CC BY")),
+    ("table", 20, "|"),
+    ("table", 3, "0123456789"),
+    ("markup", 10, "<>{}[]#=;*$%&"),
+    ("talk", 25, "?!"),
+    ("contact", 100, "@"),
+    ("list", 80, "\n"),
+)
+TOPICS = tuple(dict.fromkeys(name for name, _, _ in FORMS))
+
+
 def topic_of(text: Column) -> Column:
-    """A coarse topic by form: licence text, table, list of numbers or prose by length."""
-    n = F.length(text)
-    return (
-        F.when(F.contains(text, F.lit("icense")) | F.contains(text, F.lit("opyright")) | F.contains(text, F.lit("CC BY")), "legal")
-        .when(F.contains(text, F.lit(" | ")), "table")
-        .when(n < 600, "note")
-        .when(n < 3000, "article")
-        .otherwise("long")
-    )
+    """A coarse topic by form: the one whose marks stand for most of the text, or prose if none does for all of it.
+
+    Marks are terms (present or not) or characters (each one counts); all figures are whole numbers. An empty text has the topic none.
+    """
+    n, score = F.length(text), {}
+    for name, weight, marks in FORMS:
+        found = n - F.length(F.translate(text, marks, "")) if isinstance(marks, str) else sum((F.contains(text, F.lit(m)).cast("int") for m in marks), F.lit(0))
+        score[name] = score.get(name, F.lit(0)) + weight * found
+    scores = F.struct(*[score[t].alias(t) for t in TOPICS])
+
+    def named(s: Column) -> Column:
+        best = F.greatest(*[s[t] for t in TOPICS])
+        out = F.when(n == 0, "none").when(best < n, "prose")
+        for t in TOPICS:
+            out = out.when(s[t] == best, t)
+        return out
+
+    return let(scores, named)
 
 
 def _text() -> Column:
@@ -81,7 +103,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], total: float, rounds:
     side is as long as the dimension, and the planner alone decides whether it is short enough to broadcast.
     ``bounded``: no cell weighs more than its tokens; one that is full stays so while the others of its value grow.
     """
-    w = cells.withColumn("w", F.col("tokens").cast("double"))
+    w = materialize(cells.withColumn("w", F.col("tokens").cast("double")), "raked")
     for _ in range(rounds):
         for dim, target in targets.items():
             full = F.col("w") >= F.col("tokens")
@@ -94,8 +116,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], total: float, rounds:
             new = F.col("w") * k
             if bounded:
                 new = F.when(k <= 1, new).when(full, F.col("w")).otherwise(F.least(F.col("w") * F.col("g"), F.col("tokens")))
-            w = w.join(scale, dim, "left").select(*cells.columns, new.alias("w"))
-        w = materialize(w, "raked")
+            # the weights are read twice a step: written once, no step is planned or run again
+            w = materialize(w.join(scale, dim, "left").select(*cells.columns, new.alias("w")), "raked")
     return w
 
 
@@ -153,3 +175,54 @@ def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share:
         return drawn.select(*docs.columns)
     kept = [c for c in docs.columns if c.lower() not in ("topic", "p")]
     return drawn.select(*kept, F.col("__topic").alias("topic"), F.col("__p").alias("p"))
+
+
+def _topic_sql(text: str) -> str:
+    score: dict[str, str] = {}
+    for name, weight, marks in FORMS:
+        found = f"length({text}) - length(translate({text}, '{marks}', ''))" if isinstance(marks, str) else " + ".join(f"cast(contains({text}, '{m}') AS int)" for m in marks)
+        score[name] = score.get(name, "0") + f" + {weight} * ({found})"
+    best = f"greatest({', '.join(score.values())})"
+    return f"CASE WHEN {text} = '' THEN 'none' WHEN {best} < length({text}) THEN 'prose' " + " ".join(f"WHEN {score[t]} = {best} THEN '{t}'" for t in TOPICS) + " END"
+
+
+def sql(share: float = SHARE, rounds: int = ROUNDS, fill: int = FILL, alpha: float = ALPHA) -> str:
+    """The same sample in SQL: every step of the raking is a pair of common table expressions."""
+    out = [
+        f"d AS (SELECT *, coalesce(source, '') AS s_, coalesce(lang, '') AS l_, {_topic_sql('t_')} AS k_ FROM (SELECT *, coalesce(text, '') AS t_ FROM documents))",
+        "cells AS MATERIALIZED (SELECT s_ AS source, l_ AS lang, k_ AS topic, cast(sum(len(regexp_extract_all(t_, '[^\\x20\\x09-\\x0D]+'))) AS BIGINT) AS tokens FROM d GROUP BY ALL)",
+        f"total AS MATERIALIZED (SELECT {share}::double * sum(tokens) AS total FROM cells)",
+    ]
+    for dim in DIMS:
+        out.append(f"n_{dim} AS (SELECT {dim}, cast(sum(tokens) AS DOUBLE) AS n FROM cells GROUP BY {dim} HAVING sum(tokens) > 0)")
+        out.append(f"g_{dim}_0 AS MATERIALIZED (SELECT {dim}, n, least(pow(n, {alpha}) / sum(pow(n, {alpha})) OVER () * total, n) AS goal FROM n_{dim}, total)")
+        for k in range(fill):
+            free, full = "sum(goal) FILTER (WHERE goal < n)", "coalesce(sum(goal) FILTER (WHERE goal >= n), 0)"
+            factor = f"CASE WHEN coalesce({free}, 0) = 0 OR {free} + {full} >= any_value(total) * (1 - 1e-9::double) THEN 1 ELSE (any_value(total) - {full}) / {free} END"
+            out.append(f"f_{dim}_{k} AS (SELECT {factor} AS k FROM g_{dim}_{k}, total)")
+            out.append(f"g_{dim}_{k + 1} AS MATERIALIZED (SELECT {dim}, n, CASE WHEN goal < n THEN least(goal * k, n) ELSE goal END AS goal FROM g_{dim}_{k}, f_{dim}_{k})")
+    now = "w0"
+    out.append("w0 AS MATERIALIZED (SELECT *, cast(tokens AS DOUBLE) AS w FROM cells)")
+    for step in range(rounds * len(DIMS)):
+        dim, new = DIMS[step % len(DIMS)], f"w{step + 1}"
+        out.append(
+            f"k{step} AS (SELECT {dim}, CASE WHEN have > 0 THEN goal / have ELSE 0 END AS k, CASE WHEN have > done THEN (goal - done) / (have - done) ELSE 1 END AS g FROM "
+            f"(SELECT {dim}, sum(w) AS have, coalesce(sum(w) FILTER (WHERE w >= tokens), 0) AS done FROM {now} GROUP BY {dim}) JOIN g_{dim}_{fill} USING ({dim}))"
+        )
+        out.append(
+            f"{new} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN coalesce(k, 0) <= 1 THEN w * coalesce(k, 0) WHEN w >= tokens THEN w ELSE least(w * g, tokens) END AS w "
+            f"FROM {now} LEFT JOIN k{step} USING ({dim}))"
+        )
+        now = new
+    out.append(f"p0 AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN least(1, w / tokens) ELSE 1 END AS p FROM {now})")
+    for k in range(fill):
+        full, part = "coalesce(sum(tokens) FILTER (WHERE p >= 1), 0)", "coalesce(sum(p * tokens) FILTER (WHERE p < 1), 0)"
+        out.append(f"u{k} AS (SELECT CASE WHEN {part} = 0 THEN 1 ELSE greatest(1, (any_value(total) - {full}) / {part}) END AS k FROM p{k}, total)")
+        out.append(f"p{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, least(1, p * k) AS p FROM p{k}, u{k})")
+    draw = f"cast('0x' || substr(md5(concat(coalesce(cast(doc_id AS varchar), ''), ':{SEED}')), 1, 12) AS BIGINT) / {1 << 48}.0::double"
+    return (
+        "WITH " + ",\n".join(out) + f"\nSELECT d.doc_id, d.source, d.lang, d.k_ AS topic, round(p, 6) AS p FROM d JOIN p{fill} c ON d.s_ = c.source AND d.l_ = c.lang AND d.k_ = c.topic WHERE {draw} < c.p"
+    )
+
+
+SQL = sql()

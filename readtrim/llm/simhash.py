@@ -27,11 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_join, materialize
+from .common import SLOTS, dealt_join, materialize
 
 BITS, BUDGET, GROUP = 64, 4, 4096
-#: Rows that the nearly exact filter of ``keep_first`` may broadcast: one long each.
-SLOTS = 1 << 20
 #: Node pairs that a task splits at once.
 FRONTIER = 500_000
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import dealt_join, materialize, new_path, parted
 
 SEGMENT, ARCHIVE, FRAME = 1 << 16, 32 << 20, 8192
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -107,7 +107,7 @@ def records_of(page_id, url: str | None, payload: bytes, digest: str, refers_to,
         yield record(
             [
                 ("WARC-Type", "continuation"),
-                ("WARC-Record-ID", f"{record_id[:-1]}:{n}>"),
+                ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.UUID(record_id[10:-1]), str(n))}>"),
                 ("WARC-Date", "1970-01-01T00:00:00Z"),
                 ("WARC-Segment-Origin-ID", record_id),
                 ("WARC-Segment-Number", str(n)),
@@ -293,12 +293,14 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload"))
     rows = rows.withColumn("digest", base32_of_hex(F.sha1("payload")))
-    # Only payloads that occur twice are joined; a payload of a third of all rows is one row here, and the
-    # skew of the other side is split at run time.
-    first = rows.groupBy("digest").agg(F.max("page_id").alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    # Only payloads in the hash slots of those that occur twice are joined, and one of a third of all rows is dealt into parts.
+    first = rows.groupBy("digest").agg(F.max("page_id").alias("__first"), F.count("*").alias("n")).where("n > 1")
     first = materialize(first, "firsts")
+    clear, doubtful = parted(rows, first, "digest")
+    joined = dealt_join(doubtful, first, "digest", "page_id", "left")
     refers = F.when(F.col("__first").isNotNull() & ~F.col("__first").eqNullSafe(F.col("page_id")), F.col("__first"))
-    return rows.join(first, "digest", "left").withColumn("refers_to", refers).drop("__first")
+    none = F.lit(None).cast(pages.schema["page_id"].dataType).alias("refers_to")
+    return joined.select(*rows.columns, refers.alias("refers_to")).unionByName(clear.select(*rows.columns, none))
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:

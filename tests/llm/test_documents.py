@@ -688,10 +688,7 @@ def test_mixing_probabilities_and_draws(docs):
     cells = Counter()
     for r in docs.select("text", "source", "lang").collect():
         text = r.text or ""
-        topic = (
-            "legal" if any(x in text for x in ("icense", "opyright", "CC BY")) else "table" if " | " in text
-            else "note" if len(text) < 600 else "article" if len(text) < 3000 else "long"
-        )
+        topic = brute.topic(text)
         cells[r.source or "", r.lang or "", topic] += len(brute.words(text))
     assert {(r.source, r.lang, r.topic): r.tokens for r in plan.itertuples()} == dict(cells)
     total = sum(cells.values())
@@ -707,6 +704,18 @@ def test_mixing_probabilities_and_draws(docs):
     assert out.columns == docs.columns and out.count() == expected
 
 
+@pytest.mark.parametrize(
+    "text, topic",
+    [
+        ("", "none"), (brute.PROSE, "prose"), ("All rights reserved. Copyright by us.", "legal"), ("a | b | c | d", "table"), ("1 22 333 4444", "table"), ("x = y[0]; z # {}", "markup"),
+        ("Why? No! Who?", "talk"), ("mail a@b.org", "contact"), ("one\ntwo\nthree", "list"), (brute.PROSE * 15 + " Copyright", "prose"),
+    ],
+)
+def test_topics_follow_the_form_of_a_text(spark, text, topic):
+    assert brute.topic(text) == topic
+    assert spark.createDataFrame([(text,)], "text string").select(mixing.topic_of(F.col("text")).alias("t")).first().t == topic
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.sample(brute.empty(spark)).count() == 0
 

@@ -804,6 +804,66 @@ def test_views_teach_each_other(spark):
     assert np.mean([(p[k].p_text >= 0.5) == (k % 2) for k in unseen]) > 0.9  # learnt from the other view
 
 
+def plain_cotraining(rows, labels, rounds, most):
+    """The whole exchange in plain Python over dense rows: (p_text, p_meta, score, kept) by id."""
+    import math
+
+    views = {}
+    for r in rows:
+        slots, values = cotrain.text_features(r[1] or "")
+        text, meta = np.zeros(cotrain.DIM), np.zeros(cotrain.META)
+        text[slots] = values
+        for m in cotrain.meta_features(r[2], r[3], len(r[1] or "")):
+            meta[m] += 0.5
+        views[r[0]] = (text, meta)
+    truth = dict(labels)
+    ids = sorted(truth, key=lambda i: cotrain._slot(str(i), 1 << 30))
+    held, train = ids[: len(ids) // 5], ids[len(ids) // 5 :]
+    taught = ({}, {})
+
+    def scores():
+        out = []
+        for v in (0, 1):
+            known = [(i, truth[i]) for i in train] + list(taught[v].items())
+            w, b = cotrain.fit(np.stack([views[i][v] for i, _ in known]).astype(np.float32), np.array([y for _, y in known], np.float32))
+            a, c = cotrain.platt(np.array([views[i][v].astype(np.float32) @ w + b for i in held]), np.array([truth[i] for i in held]))
+            out.append({i: float(np.clip(x[v] @ w.astype(float) + b, -30, 30)) * a + c for i, x in views.items()})
+        return out
+
+    sure = math.log(cotrain.CONFIDENT / (1 - cotrain.CONFIDENT))
+    for _ in range(rounds):
+        z = scores()
+        for learner, teacher in ((0, 1), (1, 0)):
+            best = sorted((i for i in views if z[teacher][i] >= sure), key=lambda i: (-z[teacher][i], i))[:most]
+            worst = sorted((i for i in views if z[teacher][i] <= -sure), key=lambda i: (z[teacher][i], i))[:most]
+            taught[learner].update({i: y for found, y in ((best, 1), (worst, 0)) for i in found if i not in truth})
+    z, share = scores(), sum(truth.values()) / len(truth)
+    logistic = lambda x: 1 / (1 + math.exp(-x))
+    return {i: (logistic(z[0][i]), logistic(z[1][i]), logistic(z[0][i] + z[1][i] + math.log(share / (1 - share))), z[0][i] + z[1][i] >= 0) for i in views}, taught
+
+
+def test_cotraining_against_plain_python(spark, monkeypatch):
+    """Sampling, exchange of pseudo-labels, calibration and scores of every document."""
+    monkeypatch.setattr(cotrain, "MOST", 25)
+    rng = np.random.default_rng(11)
+    pools = (["buy", "cheap", "pills", "now", "win", "cash"], ["calm", "river", "stone", "amber", "cloud", "field"])
+    rows, labels = [], []
+    for k in range(300):
+        good = int(rng.random() < 0.6)
+        words = rng.choice(pools[good], 30).tolist() + rng.choice(pools[1 - good], int(rng.integers(0, 14))).tolist()
+        rows.append((k, " ".join(words), "en", f"s{int(rng.integers(0, 4)) + 3 * good}", 200))
+        if k % 4 == 0:
+            labels.append((k, good))
+    rows += [(1000, None, None, None, None), (1001, "", "de", "s1", 0)]
+    want, taught = plain_cotraining(rows, labels, cotrain.ROUNDS, 25)
+    assert len(taught[0]) > 20 and len(taught[1]) > 20
+    docs = spark.createDataFrame(rows, brute.SCHEMA).repartition(4)
+    got = {r.doc_id: (r.p_text, r.p_meta, r.score, r.kept) for r in cotrain.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert got.keys() == want.keys()
+    for i in want:
+        assert got[i][:3] == pytest.approx(want[i][:3], abs=2e-3) and (got[i][3] == want[i][3] or abs(want[i][2] - 0.5) < 0.01), i
+
+
 def test_queries_have_contract_columns(spark):
     wanted = {
         "op2_token_counts": {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"},

@@ -413,3 +413,11 @@ def extract(pages: DataFrame) -> DataFrame:
             )
 
     return joined.mapInArrow(take, f"{kinds}, text string, n_chars long, template_tokens int")
+
+
+#: For pages whose article is marked up once, with these tags and character references only: its blocks, read from the markup.
+SQL = r"""WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS x FROM pages),
+b AS (SELECT *, string_split(regexp_replace(x, '</?(h[1-6]|p|br|div|ul|ol|li)( [^>]*)?>', chr(1), 'g'), chr(1)) AS parts FROM a),
+c AS (SELECT page_id, url, list_transform(parts, lambda p: regexp_replace(replace(replace(replace(regexp_replace(p, '</?[A-Za-z][^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g')) AS parts FROM b),
+d AS (SELECT page_id, url, list_filter(list_transform(parts, lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))), lambda p: p <> '') AS parts FROM c)
+SELECT page_id, url, array_to_string(parts, chr(10)) AS text, length(array_to_string(parts, chr(10))) AS n_chars FROM d"""

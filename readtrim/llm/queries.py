@@ -35,7 +35,7 @@ def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_template.extract(table(spark, sf_dir, "pages"))
+    return html_template.extract(table(spark, sf_dir, "pages")).drop("template_tokens")
 
 
 def op6_config_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +64,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc_segments, op2_token_counts, op3_pii_bootstrap, op4_cotraining, op5_html_template, op6_config_lp_packing, op7_ipf_mixing, op8_media_columns, op9_simhash, op10_quality_rules)
 }
-SQL: dict[str, str] = {"op1_warc_segments": warc.SQL, "op7_ipf_mixing": mixing.SQL, "op10_quality_rules": quality_rules.SQL}
+SQL: dict[str, str] = {"op1_warc_segments": warc.SQL, "op5_html_template": html_template.SQL, "op7_ipf_mixing": mixing.SQL, "op9_simhash": simhash.SQL, "op10_quality_rules": quality_rules.SQL}

@@ -344,3 +344,54 @@ def keep_first(docs: DataFrame) -> DataFrame:
     gone = touched.where(~F.col("stays")).select(F.col("__key").alias("__gone"))
     same = F.col("__key.mark").eqNullSafe(F.col("__gone.mark")) & F.col("__key.nul").eqNullSafe(F.col("__gone.nul")) & F.col("__key.id").eqNullSafe(F.col("__gone.id"))
     return clear.unionAll(doubtful.join(gone, same, "left_anti").select("__row.*"))
+
+
+# The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+
+
+def _xxh64_sql(text: str, seed: int = 42) -> str:
+    """XXH64 of a string's UTF-8 bytes in 128-bit whole numbers, as a column expression; ``text`` is a column."""
+    wide = 1 << 64
+    low = lambda x: f"(({x}) & {wide - 1}::UHUGEINT)"
+    turn = lambda x, r: low(f"({x} << {r}) | ({x} >> {64 - r})")
+    num = lambda at, n: "cast('0x' || " + " || ".join(f"substr(hexed, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(n))) + " AS UHUGEINT)"
+    once = lambda value, body: f"list_transform([{value}], lambda x: {body})[1]"  # noqa: E731  a value that is used twice
+    mixed = lambda acc, lane: low(once(low(f"{acc} + {lane} * {_P2}::UHUGEINT"), turn("x", 31)) + f" * {_P1}::UHUGEINT")
+    start = [(seed + _P1 + _P2) % wide, (seed + _P2) % wide, seed, (seed - _P1) % wide]
+    acc = [f"list_reduce(list_transform(range(0, size // 32), lambda s: {num(f'32 * s + {8 * k}', 8)}), lambda a, y: {mixed('a', 'y')}, {v}::UHUGEINT)" for k, v in enumerate(start)]
+    joined = low(" + ".join(turn(f"v{k}", r) for k, r in enumerate((1, 7, 12, 18))))
+    for k in range(4):
+        joined = low(f"xor({joined}, {mixed('0::UHUGEINT', f'v{k}')}) * {_P1}::UHUGEINT + {_P4}::UHUGEINT")
+    rest = "size // 32 * 32"
+    eights = f"list_transform(range({rest}, {rest} + (size % 32) // 8 * 8, 8), lambda o: {num('o', 8)})"
+    by8 = low(once(f"xor(a, {mixed('0::UHUGEINT', 'y')})", turn("x", 27)) + f" * {_P1}::UHUGEINT + {_P4}::UHUGEINT")
+    fours = f"CASE WHEN size % 8 >= 4 THEN [{num('size // 8 * 8', 4)}] ELSE [] END"
+    by4 = low(once(f"xor(a, {low(f'y * {_P1}::UHUGEINT')})", turn("x", 23)) + f" * {_P2}::UHUGEINT + {_P3}::UHUGEINT")
+    ones = f"list_transform(range(size // 4 * 4, size), lambda o: {num('o', 1)})"
+    by1 = low(once(f"xor(a, {low(f'y * {_P5}::UHUGEINT')})", turn("x", 11)) + f" * {_P1}::UHUGEINT")
+    return f"""x0 AS (SELECT DISTINCT {text} AS shingle, hex(encode({text})) AS hexed FROM shingles),
+x1 AS (SELECT *, length(hexed) // 2 AS size FROM x0),
+x2 AS (SELECT *, {', '.join(f'{a} AS v{k}' for k, a in enumerate(acc))} FROM x1),
+x3 AS (SELECT shingle, hexed, size, {low(f"CASE WHEN size >= 32 THEN {joined} ELSE {(seed + _P5) % wide}::UHUGEINT END + cast(size AS UHUGEINT)")} AS h FROM x2),
+x4 AS (SELECT shingle, hexed, size, list_reduce({eights}, lambda a, y: {by8}, h) AS h FROM x3),
+x5 AS (SELECT shingle, hexed, size, list_reduce(cast({fours} AS UHUGEINT[]), lambda a, y: {by4}, h) AS h FROM x4),
+x6 AS (SELECT shingle, list_reduce({ones}, lambda a, y: {by1}, h) AS h FROM x5),
+x7 AS (SELECT shingle, {low(f"xor(h, h >> 33) * {_P2}::UHUGEINT")} AS h FROM x6),
+x8 AS (SELECT shingle, {low(f"xor(h, h >> 29) * {_P3}::UHUGEINT")} AS h FROM x7),
+hashed AS (SELECT shingle, cast(xor(h, h >> 32) AS UBIGINT) AS h FROM x8)"""
+
+
+_BITS_SQL = " + ".join(f"CASE WHEN 2 * sum((h >> {b}) & 1) > count(*) THEN {1 << b}::UBIGINT ELSE 0::UBIGINT END" for b in range(BITS))
+#: Fingerprints by XXH64 in plain arithmetic, links by comparing all distinct fingerprints, components by walking links.
+SQL = f"""WITH RECURSIVE docs AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS MATERIALIZED (SELECT k, array_to_string(w[i:i + 3], ' ') AS shingle FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS i FROM docs)),
+{_xxh64_sql("shingle")},
+prints AS MATERIALIZED (SELECT docs.k, doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM docs LEFT JOIN
+  (SELECT k, {_BITS_SQL} AS fp FROM shingles JOIN hashed USING (shingle) GROUP BY k) f ON docs.k = f.k),
+nodes AS MATERIALIZED (SELECT fp, min(doc_id) AS least FROM prints GROUP BY fp),
+links AS MATERIALIZED (SELECT a.fp AS a, b.fp AS b FROM nodes a JOIN nodes b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= {BUDGET}),
+reach(a, b) AS (SELECT fp, fp FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+found AS (SELECT r.a AS fp, min(n.least) AS component_id FROM reach r JOIN nodes n ON r.b = n.fp GROUP BY r.a)
+SELECT doc_id, lpad(lower(hex(p.fp)), 16, '0') AS fingerprint, component_id FROM prints p JOIN found f ON p.fp = f.fp"""

@@ -514,13 +514,12 @@ def fastq_unpaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fastq.unpaired(spark, f"{base}/a", f"{base}/b").select("mate1", "mate2", "unpaired")
 
 
-@_query(f"""WITH {_P} SELECT DISTINCT substring(seq1, 1, 60) AS seq1, substring(seq2, 1, 60) AS seq2 FROM p WHERE length(seq1) >= 30""")
-def stream_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _streamed(spark: SparkSession, sf_dir: str, *order: str) -> DataFrame:
     """The chain as a stream over files that have landed, duplicates by state; what it wrote."""
     landed = materialize(read_pairs(spark, sf_dir).select(*_READS), "landed")
     base = new_path(spark, "stream")
     source = spark.readStream.schema(landed.schema).parquet(landed.inputFiles()[0].rsplit("/", 1)[0])
-    options = TrimOptions(order=("LengthFilter", "HardClipAfter", "PCRDedup"), clip_after_r1=60, clip_after_r2=60, pcr_dedup=True, adapter_trim=False)
+    options = TrimOptions(order=order, clip_after_r1=60, clip_after_r2=60, pcr_dedup=True, adapter_trim=False)
     query = (
         trim_stream(source, options).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log")
         .trigger(availableNow=True).start()
@@ -529,6 +528,17 @@ def stream_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(landed.schema).parquet(f"{base}/out").select("seq1", "seq2")
 
 
+@_query(f"""WITH {_P} SELECT DISTINCT substring(seq1, 1, 60) AS seq1, substring(seq2, 1, 60) AS seq2 FROM p WHERE length(seq1) >= 30""")
+def stream_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, "LengthFilter", "HardClipAfter", "PCRDedup")
+
+
+@_query(f"""WITH {_P}, d AS (SELECT DISTINCT seq1, seq2 FROM p) SELECT substring(seq1, 1, 60) AS seq1, substring(seq2, 1, 60) AS seq2 FROM d WHERE length(seq1) >= 30""")
+def stream_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicates by state before the steps that cut: pairs that only become alike by the cut stay."""
+    return _streamed(spark, sf_dir, "PCRDedup", "LengthFilter", "HardClipAfter")
+
+
 # ---------------------------------------------------------------- simulation and scores
 
 _RANDOM = """cast(('0x' || substr(md5(idx || ':7:{salt}'), 1, 8)) AS BIGINT)"""

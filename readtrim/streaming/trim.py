@@ -1,6 +1,6 @@
 """Trimming as a Structured Streaming job.
 
-Row-local steps run on a stream as they do on a table (projections and one Arrow pass). PCRDedup on a stream keeps state by
+Row-local steps run on a stream as they do on a table (projections and one Arrow pass). PCRDedup, wherever it stands, keeps state by
 sequence: the first pair to arrive stays. That state only grows, as duplicates may come at any time; with an event-time column
 and a watermark it can be bounded.
 """
@@ -18,19 +18,25 @@ from ..plans.pipeline import GROUPS, Pipeline
 
 
 def trim_stream(reads: DataFrame, options: TrimOptions | None = None, paired: bool = True, event_time: str | None = None, watermark: str = "1 hour") -> DataFrame:
-    """The good reads of a streaming DataFrame. PCRDedup must be the last step (as in the default order)."""
+    """The good reads of a streaming DataFrame. PCRDedup keeps state where it stands; the steps before and after it are row-local."""
     options = options or TrimOptions()
     names = [n for s in options.order for n in GROUPS.get(s, (s,))]
-    if options.pcr_dedup and "PCRDedup" in names and names[-1] != "PCRDedup":
-        raise ValueError("on a stream PCRDedup can only be the last step")
-    chain = Pipeline(replace(options, pcr_dedup=False), paired)
-    good = chain.good(chain.apply(reads))
-    if not (options.pcr_dedup and "PCRDedup" in names):
-        return good
-    keys = [c for c in ("sample", "seq1", "seq2") if c in good.columns]
-    if event_time:
-        return good.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(keys)
-    return good.dropDuplicates(keys)
+    parts: list[list[str]] = [[]]
+    for name in names:
+        if name == "PCRDedup" and options.pcr_dedup:
+            parts.append([])
+        elif name != "PCRDedup":
+            parts[-1].append(name)
+    if event_time and len(parts) > 1:
+        reads = reads.withWatermark(event_time, watermark)
+    good = reads
+    for k, part in enumerate(parts):
+        if k:
+            keys = [c for c in ("sample", "seq1", "seq2") if c in good.columns]
+            good = good.dropDuplicatesWithinWatermark(keys) if event_time else good.dropDuplicates(keys)
+        chain = Pipeline(replace(options, order=tuple(part), pcr_dedup=False), paired)
+        good = chain.good(chain.apply(good))
+    return good
 
 
 def pair_streams(mate1: DataFrame, mate2: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ rest scaled up; documents of a value without a target get probability 0; empty i
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,9 @@ SEED = "mix-1"
 FORMS = (
     ("legal", 1500, ("icense", "opyright", "ights reserved", "arrant", "CC BY")),
     ("table", 20, "|"),
-    ("table", 3, "0123456789"),
     ("markup", 10, "<>{}[]#=;*$%&"),
-    ("talk", 25, "?!"),
+    ("talk", 25, "?"),
+    ("talk", 25, "!"),
     ("contact", 100, "@"),
     ("list", 80, "\n"),
 )
@@ -44,9 +46,17 @@ def topic_of(text: Column) -> Column:
     Marks are terms (present or not) or characters (each one counts); all figures are whole numbers. An empty text has the topic none.
     """
     n, score = F.length(text), {}
+
+    def found(marks: str | tuple[str, ...]) -> Column:
+        if not isinstance(marks, str):
+            return sum((F.contains(text, F.lit(m)).cast("int") for m in marks), F.lit(0))
+        # single characters by a byte search, sets of them by one class
+        if len(marks) == 1:
+            return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(marks), F.lit("")))
+        return F.regexp_count(text, F.lit("[" + re.escape(marks) + "]"))
+
     for name, weight, marks in FORMS:
-        found = n - F.length(F.translate(text, marks, "")) if isinstance(marks, str) else sum((F.contains(text, F.lit(m)).cast("int") for m in marks), F.lit(0))
-        score[name] = score.get(name, F.lit(0)) + weight * found
+        score[name] = score.get(name, F.lit(0)) + weight * found(marks)
     scores = F.struct(*[score[t].alias(t) for t in TOPICS])
 
     def named(s: Column) -> Column:
@@ -56,7 +66,8 @@ def topic_of(text: Column) -> Column:
             out = out.when(s[t] == best, t)
         return out
 
-    return let(scores, named)
+    # never null, so that no filter on the join's key makes it a second time
+    return F.coalesce(let(scores, named), F.lit("prose"))
 
 
 def _text() -> Column:

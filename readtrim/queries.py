@@ -261,12 +261,12 @@ def pcr_dedup_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.totals(read_pairs(spark, sf_dir))
 
 
-@_query(f"""WITH {_P}, h AS (SELECT substring(seq1, 1, 5) AS seq1, substring(seq2, 1, 5) AS seq2 FROM p),
+@_query(f"""WITH {_P}, h AS (SELECT substring(seq1, 1, 5) AS seq1, substring(seq2, 1, 1) AS seq2 FROM p),
 d AS (SELECT DISTINCT concat_ws('/', {pair_sql.lossy_key('seq1')}, {pair_sql.lossy_key('seq2')}) AS key, seq1, seq2 FROM h)
 SELECT key, count(*) AS n, array_to_string(list_sort(list(seq1 || '+' || seq2)), ',') AS sequences FROM d GROUP BY key HAVING count(*) > 1""")
 def hash_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Different heads of five bases under one short key: the odd base is lost in it."""
-    heads = read_pairs(spark, sf_dir).select(F.substring("seq1", 1, 5).alias("seq1"), F.substring("seq2", 1, 5).alias("seq2"))
+    """Different heads of five bases and one under one short key: the odd base is lost in it."""
+    heads = read_pairs(spark, sf_dir).select(F.substring("seq1", 1, 5).alias("seq1"), F.substring("seq2", 1, 1).alias("seq2"))
     found = dedup.collisions(heads, F.concat_ws("/", dedup.lossy_key(F.col("seq1")), dedup.lossy_key(F.col("seq2"))))
     text = F.array_join(F.array_sort(F.transform("sequences", lambda s: F.concat_ws("+", s["seq1"], s["seq2"]))), ",")
     return found.select("key", "n", text.alias("sequences"))

@@ -34,16 +34,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _broadcasts(df: DataFrame) -> bool:
+    """Whether the planner takes ``df`` for small enough to broadcast it; such a join shuffles nothing."""
+    most = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= most
+
+
 def dealt_join(big: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
     """``big`` joined with ``small`` (one row per ``key``; ``n``: how many rows of ``big`` have it).
 
     Keys with more than HOT rows are dealt: ``small``'s row is repeated for each part, a row of ``big`` goes to the
     part that the hash of ``spread`` names. The table of such keys holds at most 1 / HOT of ``big``'s rows; the planner sees its size.
+    Where it broadcasts ``small`` no key is shuffled at all.
     """
+    if _broadcasts(small.drop("n")) or (small.agg(F.max("n")).first()[0] or 0) <= HOT:
+        return big.join(small.drop("n"), key, how)
     hot = materialize(small.where(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("__parts")), "hot")
     small = small.drop("n")
-    if hot.isEmpty():
-        return big.join(small, key, how)
     part = F.pmod(F.xxhash64(F.col(spread), F.lit(11)), F.coalesce("__parts", F.lit(1))).cast("int").alias("__part")
     mine = big.join(hot, key, "left").select(*big.columns, part)
     parts = F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)

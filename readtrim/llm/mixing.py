@@ -114,7 +114,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], total: float, rounds:
     side is as long as the dimension, and the planner alone decides whether it is short enough to broadcast.
     ``bounded``: no cell weighs more than its tokens; one that is full stays so while the others of its value grow.
     """
-    w = materialize(cells.withColumn("w", F.col("tokens").cast("double")), "raked")
+    w = cells.withColumn("w", F.col("tokens").cast("double"))
     for _ in range(rounds):
         for dim, target in targets.items():
             full = F.col("w") >= F.col("tokens")
@@ -127,8 +127,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], total: float, rounds:
             new = F.col("w") * k
             if bounded:
                 new = F.when(k <= 1, new).when(full, F.col("w")).otherwise(F.least(F.col("w") * F.col("g"), F.col("tokens")))
-            # the weights are read twice a step: written once, no step is planned or run again
-            w = materialize(w.join(scale, dim, "left").select(*cells.columns, new.alias("w")), "raked")
+            w = w.join(scale, dim, "left").select(*cells.columns, new.alias("w"))
+        # cut once a round: cells are few, and a table for each dimension took twice as long
+        w = materialize(w, "raked")
     return w
 
 

@@ -37,7 +37,7 @@ from .common import materialize
 
 CAPACITY, END, BUCKETS, PER_BUCKET = 1024, 2, 256, 1 << 20
 #: Steps of the program; how fast a length's weight falls as it gets covered, how much its size adds to its price.
-STEPS, RATE, LARGE = 1000, 4.0, 0.1
+STEPS, RATE, LARGE = 700, 4.0, 0.1
 #: How much a length's weight adds to its price. The program is solved for each; the best plan and the best bound count.
 NEEDS = (0.05, 0.5)
 LONG = 1_000_000

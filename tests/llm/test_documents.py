@@ -638,9 +638,12 @@ def test_one_document_of_each_group_stays(docs, rows):
     assert sorted(map(key, kept)) == sorted({key(c) for c in expected})
 
 
-def test_hot_keys_are_dealt(spark, monkeypatch):
+def test_hot_keys_are_dealt(spark, monkeypatch, request):
     """A component and a fingerprint beyond HOT rows: the joins deal them and give the same rows."""
     monkeypatch.setattr(common, "HOT", 8)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    request.addfinalizer(lambda: spark.conf.unset(name))
+    spark.conf.set(name, "-1")  # else the planner broadcasts tables this small
     words = brute.PROSE.split()
     texts = [" ".join(words[:40] + [f"w{k % 9}"]) for k in range(60)] + ["" for _ in range(30)] + [f"alone {k} " * 9 for k in range(5)]
     df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], brute.SCHEMA).repartition(5)

@@ -49,11 +49,11 @@ def _at_exit() -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` and read it back: lost executors cost nothing, nothing runs twice."""
+def materialize(df: DataFrame, name: str, **options: int | str) -> DataFrame:
+    """Write ``df`` under ``spark.checkpoint.dir`` and read it back: lost executors cost nothing, nothing runs twice. ``options`` are the writer's."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

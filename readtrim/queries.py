@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pair_sql
+from . import pair_reads, pair_sql
 from .functions import exprs
 from .operators import dedup, detect, simulate, stats
 from .plans.options import ADAPTER1, ADAPTER2, TrimOptions
@@ -61,7 +61,23 @@ FROM r
 
 
 def read_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PAIRS_SQL, orders=spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")))
+    """The rows of PAIRS_SQL."""
+    return pair_reads.read_pairs(spread(_keys(spark, sf_dir)))
+
+
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+
+
+#: Pairs in a part of the files that queries write, about.
+_PART = 100_000
+
+
+def _pairs_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs in the order of idx. Their keys are sorted before reads are made of them: no read is shuffled, or made once more to find the ranges."""
+    keys = _keys(spark, sf_dir)
+    parts = max(spark.sparkContext.defaultParallelism, keys.count() // _PART + 1)
+    return pair_reads.read_pairs(keys.repartitionByRange(parts, "o_orderkey").sortWithinPartitions("o_orderkey"))
 
 
 _P = f"p AS ({PAIRS_SQL.format(orders='orders')})"
@@ -501,7 +517,7 @@ def fastq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fastq_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads written as one bzip2 FASTQ (a folder of parts) and read back alone."""
     base = new_path(spark, "fastq")
-    fastq.formatted(read_pairs(spark, sf_dir), 1).write.option("compression", "bzip2").text(f"{base}/a")
+    fastq.formatted(_pairs_in_order(spark, sf_dir), 1, ordered=True).write.option("compression", "bzip2").text(f"{base}/a")
     return fastq.read_single(spark, f"{base}/a").select("idx", "id1", "seq1", "qual1")
 
 

@@ -505,10 +505,10 @@ def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_P} SELECT idx, id1, seq1, qual1, id2, seq2, qual2 FROM p")
 def fastq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs written as two FASTQ files (folders of parts, plain and gzip) and read back."""
-    pairs = read_pairs(spark, sf_dir)
+    pairs = _pairs_in_order(spark, sf_dir)
     base = new_path(spark, "fastq")
-    fastq.formatted(pairs, 1).write.text(f"{base}/a")
-    fastq.formatted(pairs, 2).write.option("compression", "gzip").text(f"{base}/b")
+    fastq.formatted(pairs, 1, ordered=True).write.text(f"{base}/a")
+    fastq.formatted(pairs, 2, ordered=True).write.option("compression", "gzip").text(f"{base}/b")
     back = fastq.read_pairs(spark, f"{base}/a", f"{base}/b")
     return back.select("idx", "id1", "seq1", "qual1", "id2", "seq2", "qual2")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pair_reads, pair_sql
-from .functions import exprs
+from .functions import exprs, sql
 from .operators import dedup, detect, simulate, stats
 from .plans.options import ADAPTER1, ADAPTER2, TrimOptions
 from .plans.pipeline import Pipeline
@@ -235,7 +235,9 @@ def _complexity_sql(m: int) -> str:
 @_query(f"""WITH {_P}, c AS (SELECT idx, {_complexity_sql(1)} AS c1, {_complexity_sql(2)} AS c2 FROM p)
 SELECT idx, round(c1, 6) AS complexity1, c1 >= 0.6 AND c2 >= 0.6 AS good FROM c""")
 def complexity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = read_pairs(spark, sf_dir).withColumn("complexity1", F.round(exprs.complexity(F.col("seq1")), 6))
+    kernel = F.pandas_udf(sql.complexity, "double")  # less work than the expression; an empty read's NaN would become null
+    value = F.when(F.length("seq1") == 0, F.lit(float("nan"))).otherwise(kernel("seq1"))
+    pairs = read_pairs(spark, sf_dir).select(*_READS, F.round(value, 6).alias("complexity1"))
     out = _only("ComplexityFilter", complexity_filtration=True, min_complexity=0.6).apply(pairs)
     return out.select("idx", "complexity1", F.col("drop_reason").isNull().alias("good"))
 

@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
-from reads import random_reads
+from pyspark.sql import functions as F
+from reads import mate, random_reads
 
 from readtrim import queries
+from readtrim.functions import exprs, kernels
 from readtrim.sources import fastq
 
 SF = "/root/testdata/sf0.001"
@@ -53,6 +55,14 @@ def test_made_reads_are_those_of_the_sql(spark):
     assert sorted(map(str, made.collect())) == sorted(map(str, wanted.collect()))
 
 
+def test_complexity_of_every_letter_is_the_kernels(spark):
+    seqs = random_reads(np.random.default_rng(6), 200, 0, 70, "ACGTUNRYSWKMBDHVacgtunryswkmbdhv-")
+    df = spark.createDataFrame(list(enumerate(seqs)), "idx long, s string").orderBy("idx")
+    assert np.allclose([r.c for r in df.select(exprs.complexity(F.col("s")).alias("c")).collect()], kernels.complexity(mate(*seqs)), equal_nan=True)
+    lambdas = queries.complexity_filter(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in lambdas  # no look-up of bases one by one
+
+
 def test_digests_are_md5():
     from hashlib import md5
 

@@ -526,9 +526,9 @@ def fastq_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_P} SELECT count(*) AS mate1, count(*) FILTER (WHERE idx < 1000) AS mate2, count(*) FILTER (WHERE idx >= 1000) AS unpaired FROM p")
 def fastq_unpaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of unequal length: how many reads of either have a mate."""
-    base, pairs = new_path(spark, "fastq"), read_pairs(spark, sf_dir)
-    fastq.formatted(pairs, 1).write.text(f"{base}/a")
-    fastq.formatted(pairs.where("idx < 1000"), 2).write.text(f"{base}/b")
+    base, pairs = new_path(spark, "fastq"), _pairs_in_order(spark, sf_dir)
+    fastq.formatted(pairs, 1, ordered=True).write.text(f"{base}/a")
+    fastq.formatted(pairs.where("idx < 1000"), 2, ordered=True).write.text(f"{base}/b")
     return fastq.unpaired(spark, f"{base}/a", f"{base}/b").select("mate1", "mate2", "unpaired")
 
 

@@ -63,6 +63,15 @@ def test_complexity_of_every_letter_is_the_kernels(spark):
     assert "lambda" not in lambdas  # no look-up of bases one by one
 
 
+def test_counting_unpaired_reads_keeps_no_text(spark, tmp_path, monkeypatch):
+    kept = []
+    write = fastq.materialize
+    monkeypatch.setattr(fastq, "materialize", lambda df, *a, **o: kept.append(df.columns) or write(df, *a, **o))
+    (tmp_path / "a.fq").write_text("@r\nAC\n+\nII\n" * 3)
+    assert fastq.unpaired(spark, str(tmp_path / "a.fq"), str(tmp_path / "a.fq")).first().mate2 == 3
+    assert kept and not {"value", "text"} & {c for columns in kept for c in columns}
+
+
 def test_digests_are_md5():
     from hashlib import md5
 
